@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op9_chat_formatting
+from .html import op2_html_extraction
+from .mixing import op3_mixing
+from .ngrams import op6_ngram_jaccard
+from .packing import op8_best_fit_packing
 from .quality import op1_quality_rules
 from .toxicity import op10_toxicity
+from .urls import op5_url_filters
+from .vectors import op7_embedding_near_dedup
+from .warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op10_toxicity]
+    found = [op1_quality_rules, op2_html_extraction, op3_mixing, op4_warc, op5_url_filters, op6_ngram_jaccard, op7_embedding_near_dedup, op8_best_fit_packing, op9_chat_formatting, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
