@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import q_aggregates, q_blocks, q_features, q_models, q_sequences
+
+MODULES = [q_aggregates, q_sequences, q_features, q_blocks, q_models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
