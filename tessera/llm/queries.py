@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .chat import op9_chat_formatting
 from .html import op2_html_extraction
 from .mixing import op3_mixing
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The models, the mix, packing, extraction and propagation are no SQL; tests hold them against brute force."""
+    return {"op4_warc": sql.OP4, "op6_ngram_jaccard": sql.OP6, "op7_embedding_near_dedup": sql.OP7, "op9_chat_formatting": sql.OP9}
