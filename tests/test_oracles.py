@@ -36,7 +36,7 @@ def test_matches_sql(spark, duck, name):
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["oof_scores", "regression_imputation", "cluster_distances", "pseudo_labels", "hill_climb"])
+@pytest.mark.parametrize("name", ["oof_scores", "regression_imputation", "cluster_distances", "pseudo_labels", "hill_climb", "rank_gauss", "row_level_scores", "refit_blend", "best_method", "subset_comparison"])
 def test_models_run(spark, duck, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
