@@ -91,7 +91,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The bin of each length: longest first, each into the fullest bin with room, the earliest of equals."""
+    """The bin of each length: longest first, each into the fullest bin with room."""
     bins = np.empty(len(lengths), dtype=np.int64)
     rooms: list[int] = []  # the distinct rooms, ascending, and their bins
     at: dict[int, list[int]] = {}
