@@ -47,31 +47,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = out.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select(F.col("_host").alias("h")).where("h <> ''").distinct()
     up = hosts.withColumn("p", F.regexp_extract("h", r"^[^.]+\.(.+\..+)$", 1)).where("p <> ''")
-    return links.union(up.select(F.col("h").alias("src"), F.col("p").alias("dst"), F.lit(1.0))).union(up.select(F.col("p").alias("src"), F.col("h").alias("dst"), F.lit(1.0)))
+    ways = F.explode(F.array(F.struct(F.col("h").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("h").alias("dst"))))
+    return links.union(up.select(ways.alias("e")).select("e.src", "e.dst", F.lit(1.0)))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(node, trust, distrust): personalised PageRank along the edges from seeds.good, against them from seeds.bad.
 
     Both walks run as one: each has its own copy of the nodes. A node without a way out keeps its
-    mass. Each round is one join and one partial aggregation by node; lineage is cut every fourth.
+    mass. A round is one exchange, of the mass that arrives; nodes and ways stay dealt by node.
+    Lineage is cut every fourth round.
     """
-    both = edges.select(F.lit("t").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both.groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight"))
-    total = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    both = cut(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    step = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("node"), F.col(b).alias("to"))
+    both = edges.select(F.explode(F.array(step("t", "src", "dst"), step("d", "dst", "src"))).alias("e"), "weight")
+    both = cut(both.groupBy("e.kind", "e.node", "e.to").agg(F.sum("weight").alias("weight")))
     good, bad = seeds.agg(F.sum("good"), F.sum("bad")).first()
-    mass = lambda kind, c, all_: seeds.where(F.col(c) > 0).select(F.lit(kind).alias("kind"), "node", (F.col(c) / F.lit(float(all_ or 1))).alias("seed"))
-    seed = cut(mass("t", "good", good).union(mass("d", "bad", bad)))
-    rank = seed.withColumnRenamed("seed", "rank")
-    ways = both.select("kind", F.col("src").alias("node"), "dst", "share")
+    start = lambda kind, c, all_: F.struct(F.lit(kind).alias("kind"), (F.col(c) / F.lit(float(all_ or 1))).alias("seed"))
+    seed = seeds.select("node", F.explode(F.array(start("t", "good", good), start("d", "bad", bad))).alias("e")).select("e.kind", "node", F.lit(0.0).alias("total"), "e.seed")
+    ends = lambda n, w: F.struct(F.col(n).alias("node"), w.cast("double").alias("total"))
+    seen = both.select("kind", F.explode(F.array(ends("node", F.col("weight")), ends("to", F.lit(0)))).alias("e")).select("kind", "e.node", "e.total", F.lit(0.0).alias("seed"))
+    nodes = cut(seen.union(seed).groupBy("kind", "node").agg(F.sum("total").alias("total"), F.sum("seed").alias("seed")))
+    stay = nodes.where("total = 0").select("kind", "node", F.col("node").alias("to"), F.lit(1.0))
+    ways = both.union(stay)
+    state = nodes.withColumn("rank", F.col("seed"))
     for i in range(rounds):
-        moved = rank.join(ways, ["kind", "node"], "left").select("kind", F.coalesce("dst", "node").alias("node"), (damping * F.col("rank") * F.coalesce("share", F.lit(1.0))).alias("rank"))
-        rank = moved.union(seed.select("kind", "node", (1 - damping) * F.col("seed"))).groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
+        out = F.lit(damping) * F.col("rank") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0) * F.col("weight")
+        arrived = state.join(ways, ["kind", "node"]).groupBy("kind", F.col("to").alias("node")).agg(F.sum(out).alias("in"))
+        state = nodes.join(arrived, ["kind", "node"], "left").select("kind", "node", "total", (F.coalesce("in", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("rank"))
         if i % 4 == 3:
-            rank = cut(rank)
+            state = cut(state)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
-    return rank.groupBy("node").agg(of("t").alias("trust"), of("d").alias("distrust"))
+    return state.groupBy("node").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.0) -> DataFrame:
