@@ -69,6 +69,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*keys, "_bucket"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket")
 
 
+_kept: dict = {}
+
+
+def keep(kind, make):
+    """A Python worker's cache of one kind, kept from task to task; a worker holds one kind at a time."""
+    if kind not in _kept:
+        _kept.clear()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser over uint64 arrays."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, keep, table
 
 CAPACITY = 4096
 EOD = 1
@@ -62,10 +61,8 @@ class WordIds(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One cache a Python worker, kept from task to task."""
-    return WordIds(path)
+    return keep(("ids", path), lambda: WordIds(path))
 
 
 BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")

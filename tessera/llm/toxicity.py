@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import keep, table
 
 DIMS = 1 << 18
 #: At most so many labelled training documents of each class.
@@ -137,9 +137,10 @@ def _scorer(model: FactorizationMachine, dims: int):
     import pandas as pd
 
     known = {int(i): k for k, i in enumerate(model.ids)}
+    kind = ("terms", dims, xxhash.xxh64_hexdigest(model.ids.tobytes()))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = Terms(dims, known)
+        cache = keep(kind, lambda: Terms(dims, known))
         for texts in batches:
             yield pd.Series([model.score(terms(t, cache)) for t in texts], dtype="float64")
 
