@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import WORD, cut, mix64, running_total, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 BLOCK, SHARD, SEED = 64, 4096, 20240229
+#: Slots that one task fills, about.
+PER_TASK = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -118,7 +120,9 @@ def fill_slots(draws: DataFrame, plans: list[tuple[int, int, int]], block: int,
                 slot = (mix64(rank.astype(np.uint64) + np.uint64(shard * 7919 + s)) >> np.uint64(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(count, s, np.int32)), pa.array(at), pa.array(turn.astype(np.int32)), pa.array(words.astype(np.int64)), pa.array(np.full(count, shard)), pa.array(slot)], ["src", "block", "pass", "take", "shard", "slot"])
 
-    return draws.repartition(F.col("shard"), F.col("src")).mapInArrow(fill, "src int, block long, pass int, take long, shard long, slot long")
+    # a row of draws becomes many: parted by what comes out, not by what goes in
+    parts = 1 + sum(slots_of(p, block) for p in plans) // PER_TASK
+    return draws.repartition(parts, "shard", "src").mapInArrow(fill, "src int, block long, pass int, take long, shard long, slot long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
