@@ -134,8 +134,18 @@ def decayed_means(spark, sf_dir):
 
 @query(f"SELECT k, CAST(floor(t / 30.0) AS BIGINT) AS month, {r('max(x)')} AS x_max, count(*) AS n FROM {HISTORY} WHERE t >= -720 GROUP BY ALL")
 def monthly_rollup(spark, sf_dir):
-    """AGG-18: two-key roll-up by customer and month."""
-    return rounded(history(spark, sf_dir).where("t >= -720").groupBy("k", F.floor(F.col("t") / 30.0).alias("month")).agg(F.max("x").alias("x_max"), F.count("*").alias("n")))
+    """AGG-18 over 720 days; monthly_rollup_whole has the 48 months."""
+    return _monthly(history(spark, sf_dir).where("t >= -720"))
+
+
+@query(f"SELECT k, CAST(floor(t / 30.0) AS BIGINT) AS month, {r('max(x)')} AS x_max, count(*) AS n FROM {HISTORY} WHERE floor(t / 30.0) >= -47 GROUP BY ALL")
+def monthly_rollup_whole(spark, sf_dir):
+    """AGG-18: two-key roll-up by customer and month, of the 48 months 0 to -47."""
+    return _monthly(history(spark, sf_dir).where(F.floor(F.col("t") / 30.0) >= -47))
+
+
+def _monthly(h):
+    return rounded(h.groupBy("k", F.floor(F.col("t") / 30.0).alias("month")).agg(F.max("x").alias("x_max"), F.count("*").alias("n")))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n, " + r("count(*) * 1.0 / (SELECT count(*) FROM customer)", 6) + " AS share FROM customer GROUP BY 1")
@@ -218,10 +228,16 @@ def train_test_union(spark, sf_dir):
 
 @query(f"SELECT DISTINCT k, status FROM {HISTORY} WHERE t >= -400")
 def distinct_rows(spark, sf_dir):
-    """SET-4."""
+    """SET-4 over 400 days; distinct_rows_whole has the whole history."""
     return history(spark, sf_dir).where("t >= -400").select("k", "status").distinct()
 
 
+@query(f"SELECT DISTINCT k, status FROM {HISTORY}")
+def distinct_rows_whole(spark, sf_dir):
+    """SET-4."""
+    return history(spark, sf_dir).select("k", "status").distinct()
+
+
 @query(f"SELECT k, {r('coalesce(sum(x) FILTER (WHERE t >= -365), 0) / nullif(sum(x), 0)', 6)} AS recent_share, {r('avg(x) FILTER (WHERE t >= -365) - avg(x)')} AS recent_delta FROM {HISTORY} GROUP BY k")
 def window_vs_all(spark, sf_dir):
     """WIN-12: a window against the lifetime, as ratio and difference."""

@@ -56,8 +56,17 @@ def payment_windows(spark, sf_dir):
 
 @query(f"SELECT c.k, {r('bal * bal / 1e6', 5)} AS bal_sq, {r('bal * nation', 3)} AS bal_nation, {r('bal / (nation + 1e-5)', 3)} AS bal_per_nation, {r('bal - nation * 100', 3)} AS bal_less, {r('bal + 2 * nation + y', 3)} AS weighted FROM {CUSTOMERS} c WHERE nation > 0")
 def polynomial(spark, sf_dir):
-    """BLK-26: products, ratios, differences, squares and a 1:2:1 weighting."""
-    c = customers(spark, sf_dir).where("nation > 0")
+    """BLK-26 without nation 0; polynomial_whole has every customer."""
+    return _polynomial(customers(spark, sf_dir).where("nation > 0"))
+
+
+@query(f"SELECT c.k, {r('bal * bal / 1e6', 5)} AS bal_sq, {r('bal * nation', 3)} AS bal_nation, {r('bal / (nation + 1e-5)', 3)} AS bal_per_nation, {r('bal - nation * 100', 3)} AS bal_less, {r('bal + 2 * nation + y', 3)} AS weighted FROM {CUSTOMERS} c")
+def polynomial_whole(spark, sf_dir):
+    """BLK-26: products, ratios, differences, squares and a 1:2:1 weighting; nation 0 divides by the epsilon."""
+    return _polynomial(customers(spark, sf_dir))
+
+
+def _polynomial(c):
     b, n = F.col("bal"), F.col("nation")
     return c.select("k", stable(b * b / 1e6, 5).alias("bal_sq"), stable(b * n, 3).alias("bal_nation"), stable(ratio(b, n, EPS), 3).alias("bal_per_nation"), stable(b - n * 100, 3).alias("bal_less"), stable(b + 2 * n + F.col("y"), 3).alias("weighted"))
 

@@ -108,8 +108,18 @@ def row_statistics(spark, sf_dir):
 
 @query(f"SELECT k, {r('CASE WHEN y = 1 THEN NULL ELSE stddev_samp(v) END', 5)} AS row_std FROM (SELECT k, y, unnest([bal, nation * 100.0, 50.0]) AS v FROM {CUSTOMERS} WHERE y = 0) GROUP BY k, y")
 def row_deviation(spark, sf_dir):
+    """FN-16 for balances of 0 and more; row_deviation_whole has every customer."""
+    return _row_deviation(customers(spark, sf_dir).where("y = 0"))
+
+
+@query(f"SELECT k, {r('stddev_samp(v)', 5)} AS row_std FROM (SELECT k, unnest([bal, nation * 100.0, 50.0]) AS v FROM {CUSTOMERS}) GROUP BY k")
+def row_deviation_whole(spark, sf_dir):
     """FN-16: sample deviation across columns."""
-    return customers(spark, sf_dir).where("y = 0").select("k", stable(row_std("bal", F.col("nation") * 100.0, F.lit(50.0)), 5).alias("row_std"))
+    return _row_deviation(customers(spark, sf_dir))
+
+
+def _row_deviation(c):
+    return c.select("k", stable(row_std("bal", F.col("nation") * 100.0, F.lit(50.0)), 5).alias("row_std"))
 
 
 @query(f"SELECT k, {r('ln(q / (1 - q))', 5)} AS logit, {r('q * 30.44', 5)} AS months FROM (SELECT k, least(greatest((bal + 1000) / 11000, 1e-6), 1 - 1e-6) AS q FROM {CUSTOMERS})")
