@@ -21,6 +21,8 @@ CHROME_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor
 #: An open element of these kinds ends where another of its kind, or a block in the case of p, begins.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
+#: What an article may lie in; other blocks are parts of it.
+HOLDERS = frozenset("html body div section center td article main".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$))", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？¿¡…]")
@@ -34,6 +36,7 @@ class Piece:
     path: str
     chrome: bool
     container: tuple[int, ...]
+    names: tuple[str, ...]
     main: int | None
     parts: list[str] = field(default_factory=list)
 
@@ -58,7 +61,7 @@ def blocks(html: str) -> list[Piece]:
             if not text.strip():
                 return
             boxes = [s for s in stack if s[0] in BLOCK]
-            piece = Piece("/".join(s[3] for s in boxes), any(s[2] for s in stack), tuple(s[1] for s in boxes), next((s[1] for s in stack if s[0] in MAIN), None))
+            piece = Piece("/".join(s[3] for s in boxes), any(s[2] for s in stack), tuple(s[1] for s in boxes), tuple(s[0] for s in boxes), next((s[1] for s in stack if s[0] in MAIN), None))
             out.append(piece)
         piece.parts.append(text)
 
@@ -152,8 +155,9 @@ def main_text(html: str | None, threshold: float = 0.05) -> str:
 
     Elements that never hold content fall away. Among the other paths the scored ones at or above
     the threshold are content. Their best path fixes the region: the page's article or main element
-    that holds it, if there is one, of which everything that is left belongs to the text; otherwise
-    the content paths alone do, with headings beside them.
+    that holds it, or else the deepest container that holds all blocks on content paths. Everything
+    that is left of the region belongs to the text, lists, tables and captions too, and in the
+    second case headings beside a block on a content path.
     """
     found = [(p, t) for p in blocks(html or "") if not p.chrome and (t := p.text())]
     if not found:
@@ -163,9 +167,22 @@ def main_text(html: str | None, threshold: float = 0.05) -> str:
     if (region := found[best][0].main) is not None:
         return " ".join(t for p, t in found if p.main == region)
     good = [score[p.path] >= threshold for p, _ in found]
-    parents = {p.container[:-1] for (p, _), ok in zip(found, good, strict=True) if ok}
+    content = [p for (p, _), ok in zip(found, good, strict=True) if ok]
+    parents = {p.container[:-1] for p in content}
     heading = lambda p: re.search(r"(?:^|/)h[1-6](?:\.[^/]*)?$", p.path) and p.container[:-1] in parents
-    return " ".join(t for (p, t), ok in zip(found, good, strict=True) if ok or heading(p))
+    region = holder(content, [p for p, _ in found])
+    return " ".join(t for p, t in found if p.container[: len(region)] == region or heading(p))
+
+
+def holder(content: list[Piece], pieces: list[Piece]) -> tuple[int, ...]:
+    """The deepest container of all content; () is the whole page. An element with text of its own alone is a paragraph, not a container."""
+    first = content[0]
+    shared = set(first.container).intersection(*(p.container for p in content[1:]))
+    around = {x for p in pieces for x in p.container[:-1]}
+    n = len(shared)
+    while n and (first.names[n - 1] not in HOLDERS or first.container[n - 1] not in around):
+        n -= 1
+    return first.container[:n]
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
