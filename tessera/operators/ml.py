@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.semantics import c
 from .encoders import standardise
+from .metrics import auc
+from .oof import stratified_fold
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -63,12 +64,14 @@ def cluster_distances(df: DataFrame, features: list[str], k: int = 8, seed: int
     return out.withColumn("dist_min", F.least(*[c(f"dist_{j}") for j in range(len(dist))]))
 
 
-def adversarial(a: DataFrame, b: DataFrame, features: list[str], rounds: int = 10) -> tuple[DataFrame, float]:
-    """How well a model tells two tables apart: each row's score and the area under the curve."""
-    both = assembled(a.select(*features, F.lit(0.0).alias("side")).unionByName(b.select(*features, F.lit(1.0).alias("side"))), features)
-    scored = GBTClassifier(labelCol="side", featuresCol="features", maxIter=rounds, maxDepth=3, seed=42).fit(both).transform(both)
-    area = BinaryClassificationEvaluator(labelCol="side", numBins=0).evaluate(scored)
-    return probability(scored, "score").drop("features"), area
+def adversarial(a: DataFrame, b: DataFrame, key: str, features: list[str], rounds: int = 10, k: int = 5) -> tuple[DataFrame, float]:
+    """How well models tell two tables apart: each row's score from one that never saw its fold, and the area of those scores.
+
+    Rows are dealt to k folds stratified by side (0 for a, 1 for b). Alike tables have an area of about a half.
+    """
+    both = a.select(key, *features, F.lit(0.0).alias("side")).unionByName(b.select(key, *features, F.lit(1.0).alias("side")))
+    scored = out_of_fold(stratified_fold(both, key, ["side"], k), features, "fold", k, lambda: gbt("side", rounds=rounds), "score").cache()
+    return scored, auc(scored, "score", "side").first()[0]
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:

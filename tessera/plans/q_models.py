@@ -53,10 +53,10 @@ def cluster_distances(spark, sf_dir):
 
 @query
 def adversarial_scores(spark, sf_dir):
-    """DIAG-1: how alike two halves of the customers are."""
+    """DIAG-1: how alike two halves of the customers are: out-of-fold scores by row and their area."""
     df = _table(spark, sf_dir)
-    scored, area = ml.adversarial(df.where("k % 2 = 0"), df.where("k % 2 = 1"), FEATURES, 5)
-    return scored.groupBy("side").agg(F.count("*").alias("n"), stable(F.avg("score"), 4).alias("score")).withColumn("area", stable(F.lit(area), 4))
+    scored, area = ml.adversarial(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", FEATURES, 5)
+    return scored.select("k", F.col("side").cast("int").alias("side"), "fold", stable("score", 6).alias("score"), stable(F.lit(area), 4).alias("area"))
 
 
 @query
