@@ -13,6 +13,8 @@ from .common import cut, table
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS = 0.85, 12
+#: Ranks are whole where four rounds change less than this in sum.
+TOLERANCE = 1e-6
 
 
 def ascii_lower(c: Column) -> Column:
@@ -51,12 +53,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(up.select(ways.alias("e")).select("e.src", "e.dst", F.lit(1.0)))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(node, trust, distrust): personalised PageRank along the edges from seeds.good, against them from seeds.bad.
 
     Both walks run as one: each has its own copy of the nodes. A node without a way out keeps its
     mass. A round is one exchange, of the mass that arrives; nodes and ways stay dealt by node.
-    Lineage is cut every fourth round.
+    Lineage is cut every fourth round. With rounds None they go on until, at a cut, the ranks have
+    changed by less than `tolerance` in sum since the last one; what is then missing is about as much.
     """
     step = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("node"), F.col(b).alias("to"))
     both = edges.select(F.explode(F.array(step("t", "src", "dst"), step("d", "dst", "src"))).alias("e"), "weight")
@@ -69,13 +72,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     nodes = cut(seen.union(seed).groupBy("kind", "node").agg(F.sum("total").alias("total"), F.sum("seed").alias("seed")))
     stay = nodes.where("total = 0").select("kind", "node", F.col("node").alias("to"), F.lit(1.0))
     ways = both.union(stay)
-    state = nodes.withColumn("rank", F.col("seed"))
-    for i in range(rounds):
+    state = nodes = nodes.withColumns({"rank": F.col("seed"), "was": F.col("seed")})
+    i = 0
+    while rounds is None or i < rounds:
         out = F.lit(damping) * F.col("rank") / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0) * F.col("weight")
         arrived = state.join(ways, ["kind", "node"]).groupBy("kind", F.col("to").alias("node")).agg(F.sum(out).alias("in"))
-        state = nodes.join(arrived, ["kind", "node"], "left").select("kind", "node", "total", (F.coalesce("in", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("rank"))
-        if i % 4 == 3:
+        state = nodes.join(arrived, ["kind", "node"], "left").select("kind", "node", "total", "seed", "was", (F.coalesce("in", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("rank"))
+        i += 1
+        if i % 4 == 0:
             state = cut(state)
+            if rounds is None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < tolerance:
+                break
+            state = nodes = state.withColumn("was", F.col("rank"))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
     return state.groupBy("node").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
@@ -93,7 +101,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, thr
     df = df.withColumns({"rule": rule, "_ruled": verdict})
     n = lambda v: F.sum(F.when(F.col("_ruled") == v, 1.0).otherwise(0.0))
     seeds = df.where("_ruled is not null and _host <> ''").groupBy(F.col("_host").alias("node")).agg(n("allow").alias("good"), n("block").alias("bad"))
-    judged = propagate(host_edges(df), cut(seeds)).select(F.col("node").alias("_host"), "trust", "distrust")
+    judged = propagate(host_edges(df), cut(seeds), rounds=None).select(F.col("node").alias("_host"), "trust", "distrust")
     df = df.join(judged, "_host", "left").withColumnRenamed("_host", "host").fillna(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
     return df.withColumn("verdict", F.coalesce("_ruled", own)).drop("_ruled")
