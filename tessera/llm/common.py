@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of characters other than space and \t \n \x0b \x0c \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table of at most so many narrow rows may be broadcast.
+BROADCAST = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where that is unset a temporary one is made."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only on a local master may it be unset, and a temporary one is made."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,25 +34,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def lookup(df: DataFrame, side: DataFrame, key: str, most: int, total: int, how: str = "inner") -> DataFrame:
+    """df with the columns of side, which has a row for each key (null is one) and n, its rows in df.
+
+    `most` bounds side's rows, `total` df's. A side of at most BROADCAST rows is broadcast. Of a larger
+    one only the keys with a thousandth of df's rows are, a thousand at most; all other rows meet
+    their key by a shuffle, in which no key is hot.
+    """
+    far = side.withColumnRenamed(key, "_key")
+    join = lambda d, s, h: d.join(s.drop("n"), d[key].eqNullSafe(s["_key"]), h)
+    if most <= BROADCAST:
+        return join(df, F.broadcast(far), how).drop("_key")
+    hot = F.col("n") * 1000 >= total
+    names = F.broadcast(far.where(hot).select("_key", "n"))
+    often = join(df, F.broadcast(far.where(hot)), "inner")
+    seldom = join(join(df, names, "left_anti"), far.where(~hot), how)
+    return often.unionByName(seldom).drop("_key")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node that links reach.
 
     Alternates large-star and small-star contraction until only stars are left, so the number of
-    rounds grows with the logarithm of the longest chain. Null ends are ignored,
-    loops and repeated edges are harmless, no edges give no rows.
+    rounds grows with the logarithm of the longest chain; more than max_rounds of them are an error,
+    never an unfinished result. A hub with a large share of all edges meets its least neighbour by
+    a broadcast (lookup), so it fills no task. Null ends are ignored, loops and repeated edges are
+    harmless, no edges give no rows.
     """
     edges = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
+        n = edges.count()
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both, least, "a", 2 * n, 2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, low, "a", 2 * n, 2 * n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = cut(small.where("a <> b").distinct())
         # stars are done: no node is a leaf of one and the centre of another
         if edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components are not found after {max_rounds} rounds")
     star = edges.groupBy("a").agg(F.min("b").alias("component"))
     roots = star.select(F.col("component").alias("a")).distinct().select("a", F.col("a").alias("component"))
     return star.union(roots).select(F.col("a").alias("node"), "component")
@@ -60,7 +88,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     bucket. Rows equal in all of `order` are interchangeable.
     """
     n_rows = df.count() if n_rows is None else n_rows
-    buckets = max(16, -(-n_rows // rows_per_bucket))
+    buckets = max(256, -(-n_rows // rows_per_bucket))
     df = df.withColumn("_bucket", F.expr(f"pmod(xxhash64({', '.join(order)}), {buckets})"))
     sums = df.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     first = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
