@@ -6,8 +6,8 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 OP4 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
   f AS (SELECT h, n, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY ALL)
 SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
-  CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
+  CASE WHEN f.n IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
 FROM p LEFT JOIN f ON f.h = p.h AND f.n = p.n"""
 
 #: All pairs by shared shingles, then what links reach.

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,8 +25,9 @@ REVISIT_LEAST = 1000
 RECORD = "record_id string, warc_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, http_head string, payload binary"
 
 
-def uri(kind: str, key: Column) -> Column:
-    return F.concat(F.lit(f"<urn:page:{kind}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(">"))
+def uri(kind: str, key: Column, row: Column) -> Column:
+    """A record id of its own for each row of pages: its page_id and its place."""
+    return F.concat(F.lit(f"<urn:page:{kind}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def record(kind: str, headers: list[tuple[str, Column]], body: Column) -> Column:
@@ -38,23 +41,27 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """Writes a request, a response or revisit, and a metadata record for each row of pages (page_id, url, html).
 
     Of rows with equal payloads of REVISIT_LEAST bytes or more those with the largest page_id are
-    responses and the others revisit them; a null page_id never revisits; a null html is an empty payload, a null url has no target.
-    Equal payloads are found by digest and length: the largest id of each is a partial aggregate, and
-    a digest that holds many rows is joined with one row.
+    responses and the others revisit one of them, rows with a null page_id too; where all are null,
+    all are responses. Every row has record ids of its own, by its page_id and its place in the
+    table, so null and repeated page_ids and repeated rows stay apart; pages should be a stored table,
+    whose places are the same in each scan. A null html is an empty payload, a null url has no
+    target. Equal payloads are found by digest and length: the largest id of each is a partial
+    aggregate, and a digest that holds many rows is joined with one row.
     """
     html = F.coalesce("html", F.lit(""))
     clean = F.regexp_replace(F.col("url"), r"[\r\n]", "")
-    df = pages.select("page_id", clean.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("n"))
-    same = df.where(F.col("n") >= REVISIT_LEAST).groupBy("sha1", "n").agg(F.max("page_id").alias("first"))
-    df = df.join(same, ["sha1", "n"], "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
-    me, head = uri("response", F.col("page_id")), F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
+    df = pages.select("page_id", F.monotonically_increasing_id().alias("row"), clean.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("n"))
+    same = df.where(F.col("n") >= REVISIT_LEAST).groupBy("sha1", "n").agg(F.max(F.struct("page_id", "row")).alias("first"))
+    df = df.join(same, ["sha1", "n"], "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    own = lambda kind: uri(kind, F.col("page_id"), F.col("row"))
+    me, head = own("response"), F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     get = F.concat(F.lit("GET / HTTP/1.1\r\nUser-Agent: tessera"), F.lit(END))
     target, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1"))
     http = lambda of: ("Content-Type", F.lit(f"application/http; msgtype={of}"))
     profile = ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))
-    said = F.when(F.col("revisit"), record("revisit", [("WARC-Record-ID", me), target, digest, ("WARC-Refers-To", uri("response", F.col("first"))), profile, http("response")], head)).otherwise(record("response", [("WARC-Record-ID", me), target, digest, http("response")], F.concat(head, "html")))
-    asked = record("request", [("WARC-Record-ID", uri("request", F.col("page_id"))), ("WARC-Concurrent-To", me), target, http("request")], get)
-    about = record("metadata", [("WARC-Record-ID", uri("metadata", F.col("page_id"))), ("WARC-Concurrent-To", me), target, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\npayloadBytes: "), F.col("n").cast("string"), F.lit("\r\n")))
+    said = F.when(F.col("revisit"), record("revisit", [("WARC-Record-ID", me), target, digest, ("WARC-Refers-To", uri("response", F.col("first.page_id"), F.col("first.row"))), profile, http("response")], head)).otherwise(record("response", [("WARC-Record-ID", me), target, digest, http("response")], F.concat(head, "html")))
+    asked = record("request", [("WARC-Record-ID", own("request")), ("WARC-Concurrent-To", me), target, http("request")], get)
+    about = record("metadata", [("WARC-Record-ID", own("metadata")), ("WARC-Concurrent-To", me), target, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\npayloadBytes: "), F.col("n").cast("string"), F.lit("\r\n")))
     out = df.select(F.concat(asked, F.lit(END), said, F.lit(END), about).alias("value"))
     out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
@@ -70,7 +77,8 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
             head = None
             continue
         headers = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(head)}
-        want, parts, have = int(headers.get("content-length", 0)), [], -len(sep)
+        length = headers.get("content-length", "0").strip()
+        want, parts, have = int(length) if length.isdigit() else 0, [], -len(sep)
         while have < want:
             piece = next(pieces, None)
             if piece is None:
@@ -86,7 +94,8 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of all archives under path; payload is the block without its HTTP head (null for a block without one).
 
-    A gzipped archive is one task's stream, read record by record. Broken records end at the file's end.
+    A gzipped archive is one task's stream, read record by record. A broken record ends at its file's
+    end, wherever Spark puts the next file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +108,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             kinds = [pa.string()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-        for headers, block in parse_records(x for b in batches for x in b.column(0).to_pylist()):
+        pieces = ((f, x) for b in batches for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        archives = (parse_records(x for _, x in own) for _, own in groupby(pieces, itemgetter(0)))
+        for headers, block in chain.from_iterable(archives):
             head = body = None
             if headers.get("content-type", "").startswith("application/http"):
                 head, _, body = block.partition(sep)
@@ -114,7 +125,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         yield out()
 
     lines = spark.read.option("lineSep", END).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame, *carried: str) -> DataFrame:
@@ -139,7 +150,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    number = lambda c: F.regexp_extract(c, r":(-?\d+)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r":(-?\d+):\d+>$", 1).try_cast("long")
     read = read_warc(spark, path).select("record_id", "warc_type", "target_uri", "concurrent_to", "refers_to", "payload_digest", "http_head", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
     captures = assemble(read, "sha1", "n")
     revisit = F.col("warc_type") == "revisit"
