@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ DIMS = 1 << 18
 #: At most so many labelled training documents of each class.
 SAMPLE = 3000
 CUT = 0.7
+#: Learning rates of the weights and the factors, and the weight of their squares.
+RATE, L2 = (0.1, 0.05), 1e-4
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -59,14 +62,22 @@ class FactorizationMachine:
     v: np.ndarray
 
     def score(self, rows: list[int]) -> float:
-        v = self.v[rows]
-        pair = 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        z = self.bias + float(self.w[rows].sum()) + pair
-        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+        return float(self.scores([rows])[0])
+
+    def scores(self, rows: list[list[int]]) -> np.ndarray:
+        """Scores of many texts: their terms' weights and factors summed text by text, no pair is formed."""
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        table = np.hstack([self.w[:, None], (self.v**2).sum(axis=1)[:, None], self.v])
+        total = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[flat], axis=0)]) if len(flat) else np.zeros((1, table.shape[1]))
+        own = total[ends[1:]] - total[ends[:-1]]
+        z = self.bias + own[:, 0] + 0.5 * ((own[:, 2:] ** 2).sum(axis=1) - own[:, 1])
+        return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
     @staticmethod
-    def fit(docs: list[list[int]], y: np.ndarray, factors: int = 8, epochs: int = 40, keep: int = 4096, z_least: float = 3.0, seed: int = 7) -> "FactorizationMachine":
-        """AdaGrad over the terms whose share differs between the classes by z_least standard errors, `keep` at most."""
+    def fit(docs: list[list[int]], y: np.ndarray, factors: int = 8, epochs: int = 60, seed: int = 7) -> "FactorizationMachine":
+        """AdaGrad over the terms that tell the classes apart alone or together with another (see `informative`)."""
         pos, neg = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
         if not docs or not (y == 1).any() or not (y == 0).any():
             p = (float((y == 1).sum()) + 0.5) / (len(docs) + 1) if len(docs) else 0.0
@@ -74,19 +85,14 @@ class FactorizationMachine:
         flat = np.concatenate([np.asarray(d, np.int64) for d in docs])
         of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         ids, index = np.unique(flat, return_inverse=True)
-        a = np.bincount(index, y[of] == 1, len(ids))
-        b = np.bincount(index, y[of] == 0, len(ids))
-        share = (a + b) / (pos + neg)
-        z = (a / pos - b / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-        order = np.argsort(-np.abs(z), kind="stable")[:keep]
-        chosen = np.sort(order[(np.abs(z) >= z_least)[order]])
+        chosen = informative(of, index, y, len(ids))
         at = np.full(len(ids), -1)
         at[chosen] = np.arange(len(chosen))
         good = at[index] >= 0
         col, row = at[index][good], of[good]
         rng = np.random.default_rng(seed)
         n, bias = len(chosen), float(np.log(pos / neg))
-        w, v = np.zeros(n), rng.normal(0, 0.02, (n, factors))
+        w, v = np.zeros(n), rng.normal(0, 0.05, (n, factors))
         gw, gv, gb = np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
         start = np.searchsorted(row, np.arange(len(docs) + 1))
         weight = np.where(y == 1, 0.5 * len(docs) / pos, 0.5 * len(docs) / neg)
@@ -100,15 +106,59 @@ class FactorizationMachine:
                 s = x @ v
                 zed = bias + x @ w + 0.5 * (s**2 - x @ v**2).sum(axis=1)
                 g = (1 / (1 + np.exp(-np.clip(zed, -30, 30))) - y[batch]) * weight[batch] / len(batch)
-                db, dw = g.sum(), x.T @ g + 1e-4 * w
-                dv = x.T @ (g[:, None] * s) - (x.T @ g)[:, None] * v + 1e-4 * v
+                db, dw = g.sum(), x.T @ g + L2 * w
+                dv = x.T @ (g[:, None] * s) - (x.T @ g)[:, None] * v + L2 * v
                 gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
-                bias -= 0.1 * db / np.sqrt(gb)
-                w -= 0.1 * dw / np.sqrt(gw)
-                v -= 0.02 * dv / np.sqrt(gv)
+                bias -= RATE[0] * db / np.sqrt(gb)
+                w -= RATE[0] * dw / np.sqrt(gw)
+                v -= RATE[1] * dv / np.sqrt(gv)
         return FactorizationMachine(ids[chosen], float(bias), w, v)
 
 
+def difference(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """By how many standard errors the shares a / pos and b / neg differ."""
+    share = (a + b) / (pos + neg)
+    return (a / pos - b / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
+
+
+def informative(of: np.ndarray, index: np.ndarray, y: np.ndarray, n: int, z_single: float = 4.0, z_pair: float = 6.0, share: float = 0.01, block: int = 1024) -> np.ndarray:
+    """The terms, of n, whose share differs between the classes by z_single standard errors, and both terms
+    of each pair whose joint share differs by z_pair and by half of that more than either alone.
+
+    Row i of the sample `of` holds term `index`, once. Pairs are counted among the terms in at least
+    `share` of the rows, by products of matrices of two blocks of terms at a time.
+    """
+    rows, up = len(y), y == 1
+    pos, neg = int(up.sum()), int((~up).sum())
+    a, b = np.bincount(index, up[of], n), np.bincount(index, ~up[of], n)
+    z = difference(a, b, pos, neg)
+    chosen = np.abs(z) >= z_single
+    often = np.flatnonzero(a + b >= max(2, share * rows))
+    place = np.full(n, -1)
+    place[often] = np.arange(len(often))
+    held = place[index] >= 0
+    col, row = place[index][held], of[held]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+
+    def matrix(k: int) -> np.ndarray:
+        i, j = np.searchsorted(col, (k, k + block))
+        m = np.zeros((rows, min(block, len(often) - k)), np.float32)
+        m[row[i:j], col[i:j] - k] = 1
+        return m
+
+    for k in range(0, len(often), block):
+        left = matrix(k)
+        for j in range(k, len(often), block):
+            right = left if j == k else matrix(j)
+            both = difference(left[up].T @ right[up], left[~up].T @ right[~up], pos, neg)
+            alone = np.maximum(np.abs(z[often[k : k + block]])[:, None], np.abs(z[often[j : j + block]])[None, :])
+            p, q = np.nonzero((np.abs(both) >= z_pair) & (np.abs(both) >= alone + z_pair / 2))
+            different = often[k + p] != often[j + q]
+            chosen[often[k + p[different]]] = chosen[often[j + q[different]]] = True
+    return np.flatnonzero(chosen)
+
+
 def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, limit: int = SAMPLE) -> FactorizationMachine:
     """Fits on a bounded sample: `limit` doc_ids a class by hash of the id, never held-out ones. Of repeated labels the higher holds."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -142,7 +192,7 @@ def _scorer(model: FactorizationMachine, dims: int):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = keep(kind, lambda: Terms(dims, known))
         for texts in batches:
-            yield pd.Series([model.score(terms(t, cache)) for t in texts], dtype="float64")
+            yield pd.Series(model.scores([terms(t, cache) for t in texts]), dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return score

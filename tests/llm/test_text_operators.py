@@ -146,15 +146,39 @@ def test_quality_edges(spark):
     assert {r.doc_id: r.kept for r in quality.quality_rules(docs_of(spark, rows + rows), empty).collect()} == {1: False, 2: True}
 
 
-def test_targets_share_the_excess():
-    got = mixing.targets({"a": 100, "b": 100, "c": 100, None: 100})
+def targets_of(spark, sizes, **options):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    return {r.source: r.target for r in mixing.targets(df, **options).collect()}
+
+
+def test_targets_share_the_excess(spark):
+    got = targets_of(spark, {"a": 100, "b": 100, "c": 100, None: 100})
     assert got == pytest.approx({"a": 200, "b": 400 / 3, "c": 200 / 3, None: 200})
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+    assert targets_of(spark, {}) == {} and targets_of(spark, {"a": 0}) == {"a": 0}
+    assert targets_of(spark, {"a": 0, "b": 10}) == {"a": 0, "b": 15}
     # by code points, null last: B, b, U+FFFF, U+10000, null weigh 5, 2, 1, 5, 2
-    wide = mixing.targets({None: 1000, "\U00010000": 1000, "b": 1000, "\uffff": 1000, "B": 1000}, share=0.15)
+    wide = targets_of(spark, {None: 1000, "\U00010000": 1000, "b": 1000, "\uffff": 1000, "B": 1000}, share=0.15)
     assert wide == pytest.approx({"B": 250, "b": 100, "\uffff": 50, "\U00010000": 250, None: 100})
 
 
+def test_targets_of_many_sources_match_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    sizes = {f"host{i}": int(x) for i, x in enumerate(rng.pareto(1.0, 500) * 100)} | {None: 777}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weigh = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        total = sum(weigh[s] for s in free)
+        over = {s for s in free if left * weigh[s] / total > 2 * sizes[s]}
+        if not over:
+            want |= {s: left * weigh[s] / total for s in free}
+            break
+        want |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    assert targets_of(spark, sizes) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutation(n):
     assert sorted(mixing.permute(np.arange(n), n, 99).tolist()) == list(range(n))
@@ -182,6 +206,51 @@ def test_mix_takes_each_source_to_its_target(spark, corpus):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pieces.collect()))
 
 
+def test_mix_matches_a_plain_one_from_the_same_draws(spark, corpus):
+    """Every output slot's words, made again from the plan: blocks of the sources laid end to end, through the permutation."""
+    docs, block = docs_of(spark, corpus), 16
+    pieces, sized = mixing.mix(docs, block=block, shard=64)
+    laid = {}
+    for r in sized.collect():
+        if r.size:
+            laid.setdefault(r.src, []).append((r.start, r.doc_id, r.size))
+    flat = {s: [(d, i) for _, d, n in sorted(own) for i in range(n)] for s, own in laid.items()}
+    goal = {r.src: min(int(r.target + 0.5), 2 * r.source_size) for r in sized.collect()}
+    got = {}
+    for r in pieces.collect():
+        got.setdefault((r.src, r["pass"]), []).extend((r.doc_id, r["from"] + i) for i in range(r.words))
+    for s, words_ in flat.items():
+        for turn in (0, 1):
+            n = max(0, min(goal[s] - turn * len(words_), len(words_)))
+            full = len(words_) // block
+            order = [*mixing.permute(np.arange(full), full, mixing.SEED + 1000003 * s + turn).tolist(), full] if full else [0]
+            want = [w for k in order for w in words_[k * block : (k + 1) * block]][:n]
+            assert sorted(got.get((s, turn), [])) == sorted(want)
+
+
+def test_draws_deal_every_slot_once_and_mix_the_last_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    plans = [(s, 50 + 37 * s, 1000, 1000) for s in range(11)]
+    df = common.cut(spark.createDataFrame(plans, "src long, slots long, size long, take long"))
+    total = sum(p[1] for p in plans)
+    rows = mixing.draw_slots(df, 11, total, 64, 3).collect()
+    for s, slots, _, _ in plans:
+        ranks = sorted(r for x in rows if x.src == s for r in range(x.first, x.first + x["count"]))
+        assert ranks == list(range(slots))
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, {}).update({r.src: r["count"]})
+    assert all(len(own) > 1 for own in shards.values()) and max(sum(own.values()) for own in shards.values()) <= 64 + 11
+
+
+def test_mix_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f g h", "s"), (1, "a b c d e f g h", "s"), (None, "i j k l", "s"), (1, "m n", "s"), (1, "m n", "s"), (None, "", "s")]
+    pieces, sized = mixing.mix(docs_of(spark, rows))
+    taken = pieces.groupBy("src", "start").agg(F.sum("words").alias("taken"))
+    got = sized.join(taken, ["src", "start"], "left").where("size > 0").collect()
+    assert len(got) == 5 and sum(r.taken for r in got) == 36 and all(0 < r.taken <= 2 * r.size for r in got)
+
+
 def test_mix_edges(spark):
     pieces, sized = mixing.mix(docs_of(spark, []))
     assert pieces.count() == 0 and sized.count() == 0
@@ -258,6 +327,30 @@ def test_machine_learns_an_interaction():
     assert m.score([at[1], at[2]]) > 0.7 > m.score([at[1]]) and m.score([at[2]]) < 0.7
 
 
+def test_machine_learns_terms_that_matter_only_together():
+    rng = np.random.default_rng(1)
+    docs, y = [], []
+    for _ in range(2000):
+        a, b = rng.integers(0, 2, 2)
+        docs.append([1] * a + [2] * b + [int(x) for x in np.unique(rng.integers(10, 60, 8))])
+        y.append(int(a == b))
+    assert all(abs(toxicity.difference(np.array([sum(t in d for d, v in zip(docs, y) if v)]), np.array([sum(t in d for d, v in zip(docs, y) if not v)]), sum(y), len(y) - sum(y))[0]) < 4 for t in (1, 2))
+    m = toxicity.FactorizationMachine.fit(docs, np.array(y))
+    at = {int(i): k for k, i in enumerate(m.ids)}
+    assert {1, 2} <= set(at) and min(m.score([at[1], at[2]]), m.score([])) > 0.7 and max(m.score([at[1]]), m.score([at[2]])) < 0.3
+
+
+def test_scores_match_the_double_sum():
+    rng = np.random.default_rng(3)
+    m = toxicity.FactorizationMachine(np.arange(20), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)) * 0.3)
+    rows = [sorted(rng.choice(20, k, replace=False).tolist()) for k in (0, 1, 2, 7, 0, 20, 0)]
+    want = []
+    for r in rows:
+        z = 0.3 + sum(m.w[i] for i in r) + sum(float(m.v[i] @ m.v[j]) for i in r for j in r if i < j)
+        want.append(1 / (1 + math.exp(-z)))
+    assert m.scores(rows).tolist() == pytest.approx(want) and [m.score(r) for r in rows] == pytest.approx(want) and len(m.scores([])) == 0
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs_of(spark, []), none).count() == 0
