@@ -70,6 +70,22 @@ def test_jaccard_components_match_brute_force(spark, corpus):
     assert got == components(corpus)
 
 
+def test_jaccard_without_the_sketch_agrees(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ngrams, "BLOCK", 3)
+    monkeypatch.setattr(ngrams, "STARS", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.jaccard_components(docs_of(spark, corpus), sketch=False).collect()}
+    assert got == components(corpus)
+
+
+def test_places_number_a_cluster_without_gaps(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(3)), 10, int(rng.integers(40)), int(i % 4 == 0)) for i in range(500)]
+    got = ngrams.placed_in(spark.createDataFrame(rows, "doc_id long, label long, n long, home long, cluster long"), 7).collect()
+    for c in (0, 1):
+        sizes = np.bincount([r.block for r in got if r.cluster == c])
+        assert set(sizes[:-1]) == {7} and sizes.sum() == sum(r[4] == c for r in rows)
+
+
 def test_jaccard_edges(spark, corpus):
     assert ngrams.jaccard_components(docs_of(spark, [])).count() == 0
     rows = corpus[60:66]
@@ -139,6 +155,47 @@ def test_quality_counts_and_verdicts(spark):
     assert got[0].extra == "x"
 
 
+def test_verdicts_match_plain_ratios(spark):
+    """Weights, mean and threshold again in plain Python; the hashes are the public XXH64 with seed 42."""
+    import struct
+
+    import xxhash
+
+    rng = np.random.default_rng(17)
+    rows = quality_rows(rng) + [(300 + i, " ".join(words(rng, 50, 900)), "s") for i in range(30)]
+    quality_of = {i: 1 for i in range(25)} | {100 + i: 0 for i in range(12)} | {300 + i: i % 2 for i in range(12)}
+    labels = spark.createDataFrame([*quality_of.items(), (0, 1), (301, 1), (999, 1)], "doc_id long, quality int")
+    buckets = 1 << 9
+    got = {r.doc_id: r for r in quality.quality_rules(docs_of(spark, rows).withColumns({"_h": F.lit("a"), "_s": F.lit("b"), "hw": F.lit("c"), "row": F.lit("d")}), labels, buckets).collect()}
+
+    def grams(text):
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORDS.findall(text or "")]
+        two = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(h, h[1:])]
+        return [signed(x) % buckets for x in h + two]
+
+    raw, hit = np.ones(buckets), np.ones(buckets)
+    for i, t, _ in rows:
+        for g in grams(t):
+            raw[g] += 1
+            hit[g] += quality_of.get(i) == 1
+    weight = np.log(hit / hit.sum()) - np.log(raw / raw.sum())
+    mean = {i: float(np.mean(weight[grams(t)])) if grams(t) else 0.0 for i, t, _ in rows}
+    failed = {i: b[0] < 20 or 100 * b[4] > 30 * b[0] for i, t, _ in rows for b in [base_of(t)]}
+    pairs = sorted((mean[i], q) for i, q in quality_of.items() if i in mean and not failed[i])
+    good, bad = sum(q for _, q in pairs), sum(1 - q for _, q in pairs)
+    best, at = 0.0, -math.inf
+    for k in range(len(pairs)):
+        if k == 0 or pairs[k - 1][0] < pairs[k][0]:
+            value = sum(1 - q for _, q in pairs[:k]) / bad - quality.COST * sum(q for _, q in pairs[:k]) / good
+            if value > best + 1e-3:
+                best, at = value, (pairs[k - 1][0] + pairs[k][0]) / 2
+    assert at > -math.inf
+    for i, _, _ in rows:
+        assert got[i].llr == pytest.approx(mean[i], abs=1e-7) and got[i].kept == (not failed[i] and mean[i] >= at)
+        assert (got[i]._h, got[i]._s, got[i].hw, got[i].row) == ("a", "b", "c", "d")
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality_rules(docs_of(spark, []), empty).count() == 0
