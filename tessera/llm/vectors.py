@@ -227,7 +227,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     base = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), "embedding")
     if n == 0:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    codes = int(np.clip(round((n / max(labels, 1) / PER_CELL) ** 0.5), 1, CODES))
+    codes = int(np.clip(round((n / max(labels, 1) / PER_CELL) ** 0.5), 2, CODES))
     indexes: dict[int, MultiIndex] = {}
     picked = same.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("dim", "unit").collect()
     for d in {r.dim for r in picked}:

@@ -170,6 +170,28 @@ def test_near_duplicates(spark):
     assert all(got[i] == (0, i, True) for i in range(9100, 9108))
 
 
+def test_recall_over_a_grid_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 12)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(2400, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turned = rng.normal(size=(800, 24))
+    turned -= (turned * base[:800]).sum(axis=1, keepdims=True) * base[:800]
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    cosine = rng.uniform(0.93, 0.96, 800)[:, None]
+    x = np.vstack([base, cosine * base[:800] + np.sqrt(1 - cosine**2) * turned])
+    df = spark.createDataFrame([(i, v.tolist(), 1, 0, 0) for i, v in enumerate(x)], VECTORS)
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum() - len(x)
+    grids = []
+    fit = vectors.MultiIndex.fit
+    monkeypatch.setattr(vectors.MultiIndex, "fit", staticmethod(lambda *a: grids.append(fit(*a)) or grids[-1]))
+    found = sum(r.n_links for r in vectors.near_duplicates(df).collect())
+    cells = len(grids[0].first) * len(grids[0].second)
+    assert cells > 100 and grids[0].visits < cells and want > 1500 and 0.9 * want <= found <= want
+
+
 def test_near_duplicates_edges(spark, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 1, 0, 0)] * 2 + [(None, [1.0, 0.0], 1, 0, 0)], VECTORS)
