@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, keep, table
@@ -18,69 +18,124 @@ CAPACITY = 4096
 EOD = 1
 #: Pieces that one partition packs, about.
 PER_PARTITION = 8000
-ROUNDS = 4
+#: A round of repacking that saves a smaller share of its bins is the last.
+LEAST = 0.001
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: A word of plain letters and ASCII marks after it: two tokens' worth of text each of its own, whatever surrounds it.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-^`{-~]*)")
+PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
+#: Parts that one call of the tokenizer takes in one string; bytes of text that are looked up together.
+JOINED, CHUNK = 1000, 16 << 20
 
 
-class WordIds(dict):
-    """Word between ASCII blanks -> the bytes of its little-endian ids.
+class Ragged:
+    """Runs of ids of different lengths, end to end in one flat array."""
 
-    The tokenizer drops white space, lower-cases, and splits letters from marks before it merges, so
-    a text's ids are its words' ids in a row, and those of a plain word its letters' and its marks'.
-    Most are met again and again; a full cache starts anew.
-    """
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.ends = np.cumsum(lengths)
+
+    def take(self, at: np.ndarray) -> "Ragged":
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return Ragged(self.flat[np.repeat(self.ends[at] - ends, n) + np.arange(total)], n)
+
+
+class PartIds(dict):
+    """Part of a text -> the bytes of its little-endian ids, kept from batch to batch if it was met twice; a full cache starts anew."""
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {"": b""}
-        self[""] = b""
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= self.most:
-                self.parts = {"": b""}
-            ids = self.parts[part] = self.encode(part)
-        return ids
+    def encode_joined(self, parts: list[str]) -> list[bytes]:
+        """Parts that are one run of letters or marks each: many go in one string, and each ends at an id that ends a word."""
+        raw = b"".join(self.encode([" ".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]))
+        ends = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)] if len(ends) == len(parts) else self.encode(parts)
 
-    def __missing__(self, word: str) -> bytes:
-        m = PLAIN.fullmatch(word)
-        ids = self.part(m[1].lower()) + self.part(m[2]) if m else self.encode(word)
-        if len(self) >= self.most:
-            self.clear()
-            self[""] = b""
-        self[word] = ids
-        return ids
+    def ids(self, parts: pa.Array, counts: np.ndarray, plain: bool) -> Ragged:
+        names = parts.to_pylist()
+        found = list(map(self.get, names))
+        if new := [i for i, ids in enumerate(found) if ids is None]:
+            made = (self.encode_joined if plain else self.encode)([names[i] for i in new])
+            if len(self) > self.most:
+                self.clear()
+            for i, ids in zip(new, made, strict=True):
+                found[i] = ids
+                if counts[i] > 1:
+                    self[names[i]] = ids
+        return Ragged(np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
 
-def word_ids(path: str) -> WordIds:
-    return keep(("ids", path), lambda: WordIds(path))
+def part_ids(path: str) -> PartIds:
+    return keep(("ids", path), lambda: PartIds(path))
 
 
-BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+def token_ids(texts: pa.Array, parts: PartIds) -> Ragged:
+    """The ids of each text, looked up by distinct words.
+
+    The tokenizer drops white space, lower-cases, and splits letters from marks before it merges, so
+    a text's ids are its words' ids in a row, and those of a plain word its letters' and its marks'.
+    Words are numbered, taken apart and put together again as columns; the tokenizer sees each
+    distinct run of letters once, many in one string, and words of any other kind one by one.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = lists.flatten().dictionary_encode()
+    at, counts = words.indices.to_numpy(), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+    split = pc.extract_regex(words.dictionary, PLAIN)
+    plain = split.is_valid().to_numpy(zero_copy_only=False)
+    other = parts.ids(words.dictionary.filter(pa.array(~plain)), counts[~plain], False)
+    first, second = (c.dictionary_encode() for c in (pc.utf8_lower(split.field("letters").filter(pa.array(plain))), split.field("marks").filter(pa.array(plain))))
+    known = []
+    for c in (first, second):
+        i = c.indices.to_numpy()
+        known.append(parts.ids(c.dictionary, np.bincount(i, counts[plain], len(c.dictionary)), True) if len(i) else Ragged(other.flat[:0], np.zeros(0, np.int64)))
+    # every word is two parts: letters and marks, or itself and nothing
+    all_ = Ragged(np.concatenate([k.flat for k in (*known, other)]), np.concatenate([k.lengths for k in (*known, other)] + [np.zeros(1, np.int64)]))
+    nothing = len(all_.lengths) - 1
+    pair = np.full((len(plain), 2), nothing)
+    pair[plain, 0], pair[plain, 1] = first.indices.to_numpy(), second.indices.to_numpy() + len(known[0].lengths)
+    pair[~plain, 0] = np.arange(len(other.lengths)) + len(known[0].lengths) + len(known[1].lengths)
+    own = all_.take(pair.reshape(-1))
+    each = Ragged(own.flat, own.lengths.reshape(-1, 2).sum(axis=1)).take(at)
+    ends = np.concatenate([[0], each.ends])[lists.offsets.to_numpy()]
+    return Ragged(each.flat, np.diff(ends))
+
+
+def chunks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, text), as many at a time as have `size` bytes of text, one at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """PIECES of docs (doc_id, text): ids of the whole text and EOD, cut every `capacity` ids; an empty or null text is EOD alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
-        eod, step = np.array([EOD], dtype="<u4").tobytes(), 4 * capacity
-        for b in batches:
+        parts = part_ids(tokenizer_path)
+        eod = np.array([EOD], dtype="<u4").tobytes()
+        for b in (c for whole in batches for c in chunks(whole, CHUNK)):
+            ids = token_ids(b.column(1), parts)
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, (text or "").translate(BLANKS).split(" "))) + eod
-                for k, i in enumerate(range(0, len(ids), step)):
-                    part = ids[i : i + step]
-                    out.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, end, n in zip(b.column(0).to_pylist(), ids.ends.tolist(), ids.lengths.tolist(), strict=True):
+                for k, i in enumerate(range(0, n + 1, capacity)):
+                    stop = min(i + capacity, n + 1)
+                    crc = zlib.crc32(ids.flat[end - n + i : end - n + min(stop, n)].tobytes())
+                    out.append((doc, k, i, stop - i, zlib.crc32(eod, crc) if stop > n else crc))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -151,37 +206,37 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(bin=bins, offset=offset, gap=gap, room=(CAPACITY - used[bins]).astype(np.int64))
 
 
-def pack(pieces: DataFrame, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, per_partition: int = PER_PARTITION, least: float = LEAST) -> DataFrame:
     """PIECES with sequence_id and offset.
 
-    Full pieces are sequences of their own. The others are dealt over partitions and packed by
-    best-fit decreasing; a bound from dual feasible functions certifies a partition whose bins
-    equal it. Partitions with a gap give up their unfilled bins: those pieces are dealt anew, over
-    a quarter of the partitions, and packed again, so that what is left over meets in ever fewer
-    places, until all are certified or `rounds` are over. Every round keeps the better packing of
-    bins: a round that needs as many as before is dropped. Bins filled to within a fiftieth stay.
-    Only counts reach the driver; repeated rows are pieces of their own; nothing to pack gives no
-    rows. pieces should be materialised: full ones are numbered by their place.
+    Full pieces are sequences of their own. The others are dealt over partitions of about
+    `per_partition` and packed by best-fit decreasing; a bound from dual feasible functions certifies
+    a partition whose bins equal it. Partitions with a gap give up their unfilled bins, and so does
+    any bin filled to less than a fiftieth short: those pieces are dealt anew, so that they meet
+    others, and packed again, until nothing is left open or a round saves under a share `least` of
+    the bins it repacks. Every round keeps the better packing of bins: a round that needs as many as
+    before is dropped. Only counts reach the driver; repeated rows are pieces of their own; nothing to
+    pack gives no rows. pieces should be materialised: full ones are numbered by their place.
     """
     part = lambda n, salt: F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(salt)), F.lit(n))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") >= CAPACITY).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = pieces.where(F.col("length") >= CAPACITY).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < CAPACITY)
-    n = max(1, -(-rest.count() // per_partition))
-    out, before, had = full, None, None
+    open_ = ((F.col("gap") > 0) & (F.col("room") > 0)) | (F.col("room") > CAPACITY // 50)
     name = lambda r: (F.lit(r << 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")).alias("sequence_id")
-    for r in range(rounds):
+    n_rest, had, before, r = rest.count(), None, None, 0
+    while True:
+        n = max(1, -(-n_rest // per_partition))
         packed = cut(rest.select(*cols, part(n, r).alias("part")).groupBy("part").applyInPandas(_pack_group, PACKED))
-        if r:
-            if packed.select("part", "bin").distinct().count() >= had:
-                break
-        open_ = ((F.col("gap") > 0) & (F.col("room") > 0)) | (F.col("room") > CAPACITY // 50)
+        now = packed.groupBy("part", "bin").agg(F.count("*").alias("pieces"), F.max(open_).alias("open"))
+        used, bins, n_rest = now.agg(F.count("*"), F.count_if("open"), F.coalesce(F.sum(F.when(F.col("open"), F.col("pieces"))), F.lit(0))).first()
         if before is not None:
+            if used >= had:
+                break
             out = out.unionByName(before.where(~open_).select(*cols, name(r - 1), "offset"))
-        before, rest, n = packed, packed.where(open_), max(1, n // 4)
-        had = rest.select("part", "bin").distinct().count()
-        if had < 2 or r == rounds - 1:
-            r += 1
+        small = before is not None and had - used < least * had
+        before, rest, had, r = packed, packed.where(open_), bins, r + 1
+        if had < 2 or small:
             break
     return out.unionByName(before.select(*cols, name(r - 1), "offset"))
 
