@@ -26,7 +26,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A word of plain letters and ASCII marks after it: two tokens' worth of text each of its own, whatever surrounds it.
 PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
 #: Parts that one call of the tokenizer takes in one string; bytes of text that are looked up together.
-JOINED, CHUNK = 1000, 16 << 20
+JOINED, CHUNK = 1000, 8 << 20
 
 
 class Ragged:
