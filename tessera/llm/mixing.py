@@ -167,7 +167,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # a document's words in a block, then those of them that the slot takes
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
-    joined = spans.join(slots, ["src", "block"]).where(high > low)
+    joined = spans.join(slots.hint("merge"), ["src", "block"]).where(high > low)
     pieces = joined.select("doc_id", "src", "start", "pass", (low - F.col("start")).alias("from"), (high - low).alias("words"), "shard", "slot")
     return pieces, sized
 
