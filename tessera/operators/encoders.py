@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.semantics import c
+from .metrics import below, exact_quantiles
 
 
 def one_hot(column: str, domain: list[str], with_missing: bool = True) -> list[Column]:
@@ -23,9 +24,10 @@ def domain_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
 
 
 def label_codes(df: DataFrame, column: str, row_id: str, out: str) -> DataFrame:
-    """Codes by first appearance in the order of row_id; missing is -1."""
+    """Codes by first appearance in the order of row_id, a number; missing is -1. Values are numbered in parts, not in one task."""
     seen = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first"))
-    codes = seen.select(F.col(column).alias("_v"), (F.row_number().over(W.orderBy("_first")) - 1).alias(out))
+    numbered = below(seen.withColumns({"_one": F.lit(1), "_first": F.col("_first").cast("double")}), "_first", "_one", "_code")
+    codes = numbered.select(F.col(column).alias("_v"), F.col("_code").cast("int").alias(out))
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
@@ -67,18 +69,24 @@ def standardise(df: DataFrame, cols: list[str], sample: bool = False) -> DataFra
 
 def impute_median(df: DataFrame, cols: list[str], flags: bool = True) -> DataFrame:
     """Missing becomes the exact median, noted in <column>_ISNA."""
-    row = df.agg(*[F.median(x).alias(f"m{i}") for i, x in enumerate(cols)]).first()
+    row = {f"m{i}": exact_quantiles(df, x, [0.5])[0] for i, x in enumerate(cols)}
     if flags:
         df = df.withColumns({f"{x}_ISNA": F.when(F.col(x).isNull(), 1).otherwise(0) for x in cols})
     return df.withColumns({x: F.coalesce(F.col(x), F.lit(row[f"m{i}"])) for i, x in enumerate(cols)})
 
 
+#: The published coefficients of a rational approximation of the normal quantile (numerators and denominators of its middle and tail).
+NORMAL = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01],
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00],
+)
+
+
 def inverse_normal(p: Column) -> Column:
-    """The normal quantile by a rational approximation, good to about 1e-9 (fixed values: its published coefficients)."""
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
-    u = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+    """The normal quantile by a rational approximation, good to about 1e-9."""
+    a, b, u, d = NORMAL
 
     def poly(cs: list[float], x: Column) -> Column:
         y = F.lit(cs[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .metrics import auc, rank01
+from .tables import softmax
 
 
 def rank_all(df: DataFrame, scores: list[str]) -> DataFrame:
@@ -31,8 +32,8 @@ def top_k(df: DataFrame, label: str, scores: list[str], k: int = 3) -> list[str]
     return sorted(scores, key=lambda s: (-found[s], s))[:k]
 
 
-def hill_climb(df: DataFrame, label: str, scores: list[str], steps: int = 20, tol: float = 1e-8) -> dict[str, float]:
-    """Greedy selection with replacement: each step adds the score that lifts the mean's area most, all tried in one query."""
+def hill_climb(df: DataFrame, label: str, scores: list[str], steps: int = 2000, tol: float = 1e-8) -> dict[str, float]:
+    """Greedy selection with replacement until nothing lifts the mean's area by tol: each step adds the score that lifts it most, all tried in one query."""
     df = rank_all(df, scores).cache()
     picked: list[str] = []
     best = -1.0
@@ -48,20 +49,20 @@ def hill_climb(df: DataFrame, label: str, scores: list[str], steps: int = 20, to
     return {s: picked.count(s) / len(picked) for s in scores}
 
 
-def search_weights(df: DataFrame, label: str, scores: list[str], rounds: int = 3, step: float = 0.5) -> dict[str, float]:
-    """Non-negative weights by a shrinking pattern search on the area; each round tries every weight up and down in one query."""
+def search_weights(df: DataFrame, label: str, scores: list[str], step: float = 1.0, least: float = 0.05) -> dict[str, float]:
+    """Softmax weights by a pattern search on the area: every score's logit is tried up and down in one query, the best
+    move is taken, and where none is better the step is halved, until it is under `least`."""
     df = rank_all(df, scores).cache()
-    w = {s: 1.0 for s in scores}
-    best = auc_of(df, label, {"now": blend(scores, list(w.values()))})["now"]
-    for _ in range(rounds):
-        moves = {f"{s}|{d}": {**w, s: max(0.0, w[s] + d * step)} for s in scores for d in (-1, 1)}
-        moves = {k: m for k, m in moves.items() if sum(m.values()) > 0}
-        found = auc_of(df, label, {k: blend(scores, list(m.values())) for k, m in moves.items()})
+    of = lambda x: dict(zip(scores, softmax([x[s] for s in scores]), strict=True))
+    at = {s: 0.0 for s in scores}
+    best = auc_of(df, label, {"now": blend(scores, list(of(at).values()))})["now"]
+    while step >= least:
+        moves = {f"{s}|{d}": {**at, s: at[s] + d * step} for s in scores for d in (-1, 1)}
+        found = auc_of(df, label, {k: blend(scores, list(of(m).values())) for k, m in moves.items()})
         k = max(found, key=lambda x: (found[x], x))
-        if found[k] > best:
-            best, w = found[k], moves[k]
+        if found[k] > best + 1e-9:
+            best, at = found[k], moves[k]
         else:
             step /= 2
     df.unpersist()
-    total = sum(w.values())
-    return {s: x / total for s, x in w.items()}
+    return of(at)

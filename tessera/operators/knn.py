@@ -6,13 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .metrics import exact_quantiles
+
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 4096, n_base: int | None = None) -> DataFrame:
     """(query, neighbour, distance, place): the k nearest rows of base (id, fold, vec) of each of queries (id, fold, vec)
     outside its own fold (NULL: among all), by Euclidean distance and then id.
 
-    Both sides are dealt into blocks; each pair of blocks is one product of matrices that keeps k
-    rows a query, and the blocks' bests meet in a ranking by query. A task holds two blocks.
+    Both sides are dealt into blocks; each pair of blocks is a product of matrices, 256 queries at a
+    time, that keeps k rows a query, and the blocks' bests meet in a ranking by query. A task holds
+    two blocks.
     """
     n_q, n_b = max(1, -(-queries.count() // block)), max(1, -(-(n_base or base.count()) // block))
     q = queries.select(F.lit(0).alias("side"), "id", F.col("fold").cast("long").alias("fold"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))).alias("bb"))
@@ -22,17 +25,23 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 4096, n_ba
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
         cols = {"query": [], "neighbour": [], "distance": []}
         if len(left) and len(right):
-            y = np.stack(right.vec.to_numpy())
-            ids, folds = right.id.to_numpy(), right.fold.to_numpy(dtype=float)
-            for i, f, v in zip(left.id, left.fold, left.vec, strict=True):
-                d = np.sqrt(((y - v) ** 2).sum(axis=1))
-                if f is not None and f == f:
-                    d[folds == f] = np.inf
-                at = np.argsort(d, kind="stable")[:k]
-                at = at[np.isfinite(d[at])]
-                cols["query"] += [i] * len(at)
-                cols["neighbour"] += ids[at].tolist()
-                cols["distance"] += d[at].tolist()
+            x, y = np.stack(left.vec.to_numpy()), np.stack(right.vec.to_numpy())
+            ids, folds, own = right.id.to_numpy(), right.fold.to_numpy(dtype=float), left.fold.to_numpy(dtype=float)
+            names = left.id.to_numpy()
+            for low in range(0, len(x), 256):
+                q = x[low : low + 256]
+                near = (q**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * q @ y.T
+                near[own[low : low + 256, None] == folds[None, :]] = np.inf
+                # the product is off by rounding: what may be among the k nearest is measured again
+                kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                slack = 1e-9 * (1 + np.abs(q).sum(axis=1) ** 2 + (np.abs(y).sum(axis=1) ** 2).max())
+                for i in range(len(q)):
+                    at = np.flatnonzero((near[i] <= kth[i] + slack[i]) & np.isfinite(near[i]))
+                    d = np.sqrt(((y[at] - q[i]) ** 2).sum(axis=1))
+                    order = np.argsort(d, kind="stable")[:k]
+                    cols["query"] += [names[low + i]] * len(order)
+                    cols["neighbour"] += ids[at[order]].tolist()
+                    cols["distance"] += d[order].tolist()
         return pd.DataFrame(cols)
 
     pairs = q.unionByName(b).groupBy("qb", "bb").applyInPandas(best, "query long, neighbour long, distance double")
@@ -44,3 +53,45 @@ def neighbour_means(near: DataFrame, payload: DataFrame, ks: list[int], prefix:
     """(id, prefix + k ...): means of payload (id, value) over the first k neighbours, all k from one search."""
     joined = near.join(payload.select(F.col("id").alias("neighbour"), "value"), "neighbour")
     return joined.groupBy(F.col("query").alias("id")).agg(*[F.avg(F.when(F.col("place") <= k, F.col("value"))).alias(f"{prefix}{k}") for k in ks])
+
+
+def prepared(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
+    """(id, fold, vec) of train (id, fold, cols) and test (id, cols), whose fold is NULL: missing becomes the
+    median of its own table, infinite 0, and all is scaled by mean and population deviation of train."""
+    parts = []
+    for df in (train.select("id", F.col("fold").cast("long").alias("fold"), *cols), test.select("id", F.lit(None).cast("long").alias("fold"), *cols)):
+        known = df.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in cols})
+        middle = {x: exact_quantiles(known, x, [0.5])[0] or 0.0 for x in cols}
+        filled = {x: F.coalesce(F.col(x), F.lit(middle[x])) for x in cols}
+        parts.append(known.withColumns({x: F.when(F.abs(v) == float("inf"), 0.0).otherwise(v) for x, v in filled.items()}))
+    m = parts[0].agg(*[F.avg(x).alias(f"m_{x}") for x in cols], *[F.stddev_pop(x).alias(f"s_{x}") for x in cols]).first()
+    scaled = F.array(*[(F.col(x) - F.lit(m[f"m_{x}"] or 0.0)) / F.lit(m[f"s_{x}"] or 1.0) for x in cols])
+    return parts[0].unionByName(parts[1]).select("id", "fold", scaled.alias("vec"))
+
+
+def fold_medians(train: DataFrame, value: str, folds: int) -> DataFrame:
+    """(fold, median): of value over the training rows outside each fold, and over all for fold NULL."""
+    rows = [(None if f is None else f, exact_quantiles(train if f is None else train.where(F.col("fold") != f), value, [0.5])[0] or 0.0) for f in (None, *range(folds))]
+    return train.sparkSession.createDataFrame(rows, "fold long, median double")
+
+
+def neighbour_average(near: DataFrame, rows: DataFrame, medians: DataFrame, k: int, prefix: str) -> DataFrame:
+    """(id, <prefix>_MEAN, <prefix>_DEV): mean of value over the k nearest training rows and own value less that.
+
+    rows: id, fold, value of train and test. A neighbour without a value counts as the median of the
+    rows that its query may see (fold_medians).
+    """
+    seen = near.where(F.col("place") <= k).join(rows.select(F.col("id").alias("neighbour"), "value"), "neighbour")
+    sums = seen.groupBy("query").agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"), F.count_if(F.col("value").isNull()).alias("gaps"))
+    own = rows.join(sums, rows["id"] == sums["query"]).join(F.broadcast(medians.withColumnRenamed("fold", "_f")), F.col("fold").eqNullSafe(F.col("_f")))
+    mean = (F.col("s") + F.col("gaps") * F.col("median")) / F.col("n")
+    return own.select("id", mean.alias(f"{prefix}_MEAN"), (F.col("value") - mean).alias(f"{prefix}_DEV"))
+
+
+def target_over_folds(queries: DataFrame, train: DataFrame, k: int, folds: int, out: str) -> DataFrame:
+    """(id, out) for test rows `queries` (id, vec): the mean target of the k nearest of train (id, fold, vec, value)
+    outside a fold, averaged over the folds."""
+    each = queries.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select((F.col("id") * folds + F.col("f")).alias("id"), F.col("f").alias("fold"), "vec")
+    found = nearest(each, train.select("id", "fold", "vec"), k)
+    means = found.join(train.select(F.col("id").alias("neighbour"), "value"), "neighbour").groupBy("query").agg(F.avg("value").alias("v"))
+    return means.groupBy(F.floor(F.col("query") / folds).alias("id")).agg(F.avg("v").alias(out))

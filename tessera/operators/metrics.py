@@ -7,21 +7,50 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.scalars import quantile_bin
 
 
-def average_rank(df: DataFrame, score: str, out: str = "rank", splits: int = 64) -> DataFrame:
+def parted(counts: DataFrame, x: str, splits: int = 64) -> DataFrame:
+    """counts with _part, which deals its rows out by approximate quantiles of x; the parts are in the order of x."""
+    edges = sorted(set(counts.approxQuantile(x, [i / splits for i in range(1, splits)], 0.01)))
+    return counts.withColumn("_part", quantile_bin(x, edges))
+
+
+def below(counts: DataFrame, x: str, n: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """counts with `out`: the sum of n over smaller x, within keys. x is distinct within keys; rows are sorted inside a part only."""
+    keys = keys or []
+    counts = parted(counts, x)
+    parts = counts.groupBy(*keys, "_part").agg(F.sum(n).alias("_all"))
+    ahead = lambda order, *by: (W.partitionBy(*by) if by else W).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    base = parts.select(*keys, "_part", F.coalesce(F.sum("_all").over(ahead("_part", *keys)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(n).over(ahead(x, *keys, "_part")), F.lit(0))
+    return counts.withColumn("_in", inside).join(base, [*keys, "_part"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_part")
+
+
+def counted(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
+    return df.where(F.col(x).isNotNull()).groupBy(*(keys or []), x).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def average_rank(df: DataFrame, score: str, out: str = "rank") -> DataFrame:
     """Adds the rank of each score among all, ties sharing the mean of theirs; a missing score has none.
 
     Scores are counted, the distinct ones dealt by approximate quantiles, and each part gets its
     running count from the counts below it. The result does not depend on where the parts lie.
     """
-    edges = sorted(set(df.approxQuantile(score, [i / splits for i in range(1, splits)], 0.01)))
-    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", quantile_bin(score, edges))
-    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_all"))
-    below = parts.select("_part", F.coalesce(F.sum("_all").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
-    running = F.sum("_n").over(W.partitionBy("_part").orderBy(score))
-    ranks = counts.withColumn("_run", running).join(F.broadcast(below), "_part").select(F.col(score).alias("_score"), (F.col("_below") + F.col("_run") - (F.col("_n") - 1) / 2).alias(out))
+    ranks = below(counted(df, score), score, "_n", "_below").select(F.col(score).alias("_score"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(score) == F.col("_score"), "left").drop("_score")
 
 
+def exact_quantiles(df: DataFrame, x: str, probabilities: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation, over counted values in parts: no task sees all rows. None where x is never known."""
+    counts = below(counted(df, x), x, "_n", "_below")
+    n = df.where(F.col(x).isNotNull()).count()
+    if not n:
+        return [None] * len(probabilities)
+    at = [p * (n - 1) for p in probabilities]
+    wanted = sorted({int(a) for a in at} | {min(int(a) + 1, n - 1) for a in at})
+    hit = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (w >= F.col("_below")) & (w < F.col("_below") + F.col("_n")))
+    found = {r.w: float(r.x) for r in counts.select(F.col(x).alias("x"), F.explode(hit).alias("w")).collect()}
+    return [found[int(a)] + (a - int(a)) * (found[min(int(a) + 1, n - 1)] - found[int(a)]) for a in at]
+
+
 def rank01(df: DataFrame, score: str, out: str) -> DataFrame:
     """(average rank - 1) / (n - 1)."""
     n = df.where(F.col(score).isNotNull()).count()
@@ -31,21 +60,11 @@ def rank01(df: DataFrame, score: str, out: str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Area under the curve, ties counted half; 0.5 where a class is absent. With `by`, one each.
 
-    Works on counts by distinct score: positives and negatives below a score are running sums.
+    Works on counts by distinct score: negatives below a score are running sums over parts.
     """
     keys = by or []
     c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("q", F.col("n") - F.col("p"))
-    if keys:
-        w = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-        c = c.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0.0)))
-    else:
-        edges = sorted(set(c.approxQuantile(score, [i / 64 for i in range(1, 64)], 0.01)))
-        c = c.withColumn("_part", quantile_bin(score, edges))
-        parts = c.groupBy("_part").agg(F.sum("q").alias("_q"))
-        base = parts.select("_part", F.coalesce(F.sum("_q").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"))
-        w = W.partitionBy("_part").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-        c = c.withColumn("_in", F.coalesce(F.sum("q").over(w), F.lit(0.0))).join(F.broadcast(base), "_part").withColumn("below", F.col("_base") + F.col("_in"))
+    c = below(c.withColumn("q", F.col("n") - F.col("p")), score, "q", "below", keys)
     won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
     both = F.sum("p") * F.sum("q")
     return c.groupBy(*keys).agg(F.coalesce(F.try_divide(won, both), F.lit(0.5)).alias("auc"))

@@ -13,9 +13,12 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.semantics import c
-from .encoders import standardise
+from .encoders import impute_median, standardise
+from .ensemble import auc_of, rank_all
 from .metrics import auc
 from .oof import stratified_fold
+from ..sources.io import staged
+from .tables import enough
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -35,8 +38,8 @@ def probability(df: DataFrame, out: str) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator], out: str) -> DataFrame:
-    """Each row's score from a model that never saw its fold."""
-    df = assembled(df, features).cache()
+    """Each row's score from a model that never saw its fold. The rows are staged: every fold reads them."""
+    df = assembled(staged(df), features)
     parts = [probability(make().fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i)), out) for i in range(k)]
     scored = parts[0]
     for p in parts[1:]:
@@ -70,7 +73,8 @@ def adversarial(a: DataFrame, b: DataFrame, key: str, features: list[str], round
     Rows are dealt to k folds stratified by side (0 for a, 1 for b). Alike tables have an area of about a half.
     """
     both = a.select(key, *features, F.lit(0.0).alias("side")).unionByName(b.select(key, *features, F.lit(1.0).alias("side")))
-    scored = out_of_fold(stratified_fold(both, key, ["side"], k), features, "fold", k, lambda: gbt("side", rounds=rounds), "score").cache()
+    scored = out_of_fold(stratified_fold(both, key, ["side"], k), features, "fold", k, lambda: gbt("side", rounds=rounds), "score")
+    scored = staged(scored)
     return scored, auc(scored, "score", "side").first()[0]
 
 
@@ -102,3 +106,53 @@ def pseudo_labelled(train: DataFrame, test: DataFrame, features: list[str], labe
     sure = probability(model.transform(assembled(test, features)), "score").where((F.col("score") < low) | (F.col("score") > high))
     sure = sure.withColumn(label, F.when(F.col("score") > high, 1).otherwise(0).cast("long"))
     return train.withColumn("pseudo", F.lit(0)).unionByName(sure.select(*train.columns, F.lit(1).alias("pseudo")))
+
+
+def retrained(train: DataFrame, test: DataFrame, features: list[str], label: str, low: float, high: float, least: int = 20) -> DataFrame:
+    """test with score, of a model fitted again on train and the rows of test that two teachers (trees, logistic) agree
+    they are sure of, by the mean of their scores. Under `least` sure rows the teachers' mean stays."""
+    t, s = assembled(train, features), assembled(test, features)
+    both = probability(gbt(label).fit(t).transform(s), "_a")
+    both = probability(logistic(label).fit(t).transform(both), "_b").withColumn("score", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
+    sure = both.where((F.col("score") < low) | (F.col("score") > high))
+    if not enough(sure, least):
+        return both.drop("features")
+    more = sure.withColumn(label, F.when(F.col("score") > high, 1).otherwise(0).cast(train.schema[label].dataType))
+    model = gbt(label).fit(t.select("features", label).unionByName(more.select("features", label)))
+    return probability(model.transform(both.drop("score")), "score").drop("features")
+
+
+def payment_counts(known: DataFrame, current: DataFrame, features: list[str], count: str, out: str, low: float, high: float, least: int = 200) -> DataFrame:
+    """current with the number of payments that trees fitted on loans with a known one predict, within bounds; NULL
+    where fewer than `least` such loans are known."""
+    known = known.where(F.col(count) > 0)
+    if not enough(known, least):
+        return current.withColumn(out, F.lit(None).cast("double"))
+    model = GBTRegressor(labelCol=count, featuresCol="features", maxIter=10, maxDepth=4, seed=42).fit(assembled(known, features))
+    scored = model.transform(assembled(current, features))
+    return scored.withColumn(out, F.greatest(F.least("prediction", F.lit(float(high))), F.lit(float(low)))).drop("features", "prediction")
+
+
+def two_layers(df: DataFrame, key: str, scores: list[str], label: str, fold: str, k: int, raw: list[str] = []) -> tuple[DataFrame, dict[str, float]]:
+    """(df with L2_logistic, L2_trees, L3 and score, their areas): scores and raw columns as ranks, two learners on them
+    out of fold, the mean of those two's ranks, and the best of the three by area as score.
+
+    A missing raw value counts as the column's median.
+    """
+    df = impute_median(df, raw, flags=False) if raw else df
+    ranked = rank_all(staged(df), [*scores, *raw])
+    out = out_of_fold(ranked, [*scores, *raw], fold, k, lambda: logistic(label, 0.5), "L2_logistic")
+    out = out_of_fold(out, [*scores, *raw], fold, k, lambda: gbt(label, rounds=5), "L2_trees")
+    out = staged(out)
+    ranks = rank_all(out.select(key, F.col("L2_logistic").alias("_l"), F.col("L2_trees").alias("_t")), ["_l", "_t"])
+    out = staged(out.join(ranks.select(key, ((F.col("_l") + F.col("_t")) / 2).alias("L3")), key))
+    ways = ("L3", "L2_logistic", "L2_trees")
+    found = auc_of(out, label, {w: F.col(w) for w in ways})
+    best = max(ways, key=lambda w: found[w])
+    return out.withColumn("score", F.col(best)), found
+
+
+def group_importance(df: DataFrame, feature: str = "feature", importance: str = "importance") -> DataFrame:
+    """By the prefix of the feature's name up to the first underscore: how many, how many with no importance, their sum and the least."""
+    group = F.coalesce(F.nullif(F.regexp_extract(feature, r"^([^_]+)_", 1), F.lit("")), F.lit("other"))
+    return df.groupBy(group.alias("group")).agg(F.count("*").alias("features"), F.count_if(F.col(importance) == 0).alias("idle"), F.sum(importance).alias("total"), F.min(importance).alias("least"))

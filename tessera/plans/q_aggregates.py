@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.semantics import flag, ratio, stable
-from ..operators import aggregates as A
+from ..operators import aggregates as A, metrics as M
 from .views import CUSTOMERS, HISTORY, LINES, customers, history, lines, load, r
 
 QUERIES: dict = {}
@@ -132,10 +132,10 @@ def decayed_means(spark, sf_dir):
     return rounded(history(spark, sf_dir).groupBy("k").agg(A.decayed_mean("t", "x", 360.0).alias("wma"), A.decayed_sum("t", "x", 180.0).alias("decayed"), F.avg(F.when(F.col("x") > 200000, 1.0).otherwise(0.0)).alias("high_ratio")))
 
 
-@query(f"SELECT k, CAST(floor(t / 30.0) AS BIGINT) AS month, {r('max(x)')} AS x_max, count(*) AS n FROM {HISTORY} WHERE t >= -720 GROUP BY ALL")
+@query(f"SELECT k, CAST(floor(t / 30.0) AS BIGINT) AS month, {r('max(x)')} AS x_max, count(*) AS n FROM {HISTORY} GROUP BY ALL")
 def monthly_rollup(spark, sf_dir):
-    """AGG-18 over 720 days; monthly_rollup_whole has the 48 months."""
-    return _monthly(history(spark, sf_dir).where("t >= -720"))
+    """AGG-18 over the whole history; monthly_rollup_whole has the last 48 months."""
+    return _monthly(history(spark, sf_dir))
 
 
 @query(f"SELECT k, CAST(floor(t / 30.0) AS BIGINT) AS month, {r('max(x)')} AS x_max, count(*) AS n FROM {HISTORY} WHERE floor(t / 30.0) >= -47 GROUP BY ALL")
@@ -166,7 +166,9 @@ def recency(spark, sf_dir):
 @query(f"SELECT {r('median(x)')} AS x_median, {r('quantile_cont(x, 0.75)')} AS x_q75, {r('avg(x)')} AS x_mean, count(*) AS n FROM {HISTORY}")
 def global_scalars(spark, sf_dir):
     """AGG-21: exact median and percentile of a table."""
-    return rounded(history(spark, sf_dir).agg(F.median("x").alias("x_median"), F.percentile("x", F.lit(0.75)).alias("x_q75"), F.avg("x").alias("x_mean"), F.count("*").alias("n")))
+    h = history(spark, sf_dir)
+    middle, upper = M.exact_quantiles(h, "x", [0.5, 0.75])
+    return rounded(h.agg(F.lit(middle).alias("x_median"), F.lit(upper).alias("x_q75"), F.avg("x").alias("x_mean"), F.count("*").alias("n")))
 
 
 @query(f"SELECT id, {', '.join(f'{r(f"avg(price) FILTER (WHERE n = {i})", 4)} AS price_n{i}_mean' for i in (1, 2, 3, 4))} FROM {LINES} GROUP BY id")
@@ -181,10 +183,12 @@ def filters(spark, sf_dir):
     return history(spark, sf_dir).where((F.col("x") > 0) & F.col("status").isin("F", "O") & (F.col("t") >= -365)).withColumn("p", F.nullif("prio", F.lit("5-LOW"))).dropna(subset=["p"]).select("id", "x", "status")
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS label FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000")
+@query(f"WITH p AS (SELECT k, avg(x) / (avg(x) + 150000) AS p FROM {HISTORY} GROUP BY k) SELECT k, {r('p', 6)} AS score, CASE WHEN p > 0.52 THEN 1 ELSE 0 END AS label FROM p WHERE p < 0.48 OR p > 0.52")
 def confidence_band(spark, sf_dir):
-    """FLT-6: rows beyond either bound, with the label the bound says."""
-    return load(spark, sf_dir, "customer").where((F.col("c_acctbal") < 0) | (F.col("c_acctbal") > 9000)).select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("label"))
+    """FLT-6: rows whose score is beyond either bound, with the label the bound says."""
+    p = history(spark, sf_dir).groupBy("k").agg((F.avg("x") / (F.avg("x") + 150000)).alias("score"))
+    sure = p.where((F.col("score") < 0.48) | (F.col("score") > 0.52))
+    return sure.select("k", stable("score", 6).alias("score"), flag(F.col("score") > 0.52).alias("label"))
 
 
 @query(f"WITH a AS (SELECT k, count(*) AS n_open FROM {HISTORY} WHERE status = 'O' GROUP BY k), b AS (SELECT k, count(*) AS n_done FROM {HISTORY} WHERE status = 'F' GROUP BY k) SELECT coalesce(a.k, b.k) AS k, n_open, n_done FROM a FULL OUTER JOIN b ON a.k = b.k")
@@ -226,10 +230,10 @@ def train_test_union(spark, sf_dir):
     return a.unionByName(c.where("k % 5 = 0").select("k", F.lit(0).alias("is_train")), allowMissingColumns=True)
 
 
-@query(f"SELECT DISTINCT k, status FROM {HISTORY} WHERE t >= -400")
+@query(f"SELECT DISTINCT k, t, status FROM {HISTORY}")
 def distinct_rows(spark, sf_dir):
-    """SET-4 over 400 days; distinct_rows_whole has the whole history."""
-    return history(spark, sf_dir).where("t >= -400").select("k", "status").distinct()
+    """SET-4: a customer's days and states, each once."""
+    return history(spark, sf_dir).select("k", "t", "status").distinct()
 
 
 @query(f"SELECT DISTINCT k, status FROM {HISTORY}")

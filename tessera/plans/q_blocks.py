@@ -54,10 +54,10 @@ def payment_windows(spark, sf_dir):
     return d.groupBy("k").agg(*cols, stable(year - F.avg("late"), 6).alias("TREND_late"))
 
 
-@query(f"SELECT c.k, {r('bal * bal / 1e6', 5)} AS bal_sq, {r('bal * nation', 3)} AS bal_nation, {r('bal / (nation + 1e-5)', 3)} AS bal_per_nation, {r('bal - nation * 100', 3)} AS bal_less, {r('bal + 2 * nation + y', 3)} AS weighted FROM {CUSTOMERS} c WHERE nation > 0")
+@query(f"SELECT c.k, {r('bal * bal / 1e6', 5)} AS bal_sq, {r('bal * nation', 3)} AS bal_nation, {r('bal / (nation + 1e-5)', 3)} AS bal_per_nation, {r('bal - nation * 100', 3)} AS bal_less, {r('bal + 2 * nation + y', 3)} AS weighted FROM {CUSTOMERS} c")
 def polynomial(spark, sf_dir):
-    """BLK-26 without nation 0; polynomial_whole has every customer."""
-    return _polynomial(customers(spark, sf_dir).where("nation > 0"))
+    """BLK-26, every customer: products, ratios, differences, squares and a 1:2:1 weighting."""
+    return _polynomial(customers(spark, sf_dir))
 
 
 @query(f"SELECT c.k, {r('bal * bal / 1e6', 5)} AS bal_sq, {r('bal * nation', 3)} AS bal_nation, {r('bal / (nation + 1e-5)', 3)} AS bal_per_nation, {r('bal - nation * 100', 3)} AS bal_less, {r('bal + 2 * nation + y', 3)} AS weighted FROM {CUSTOMERS} c")

@@ -83,7 +83,7 @@ def right_closed_bins(spark, sf_dir):
 def quantile_bins(spark, sf_dir):
     """FN-11: five bins by exact quantiles."""
     c = customers(spark, sf_dir)
-    edges = c.agg(F.percentile("bal", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)]))).first()[0]
+    edges = M.exact_quantiles(c, "bal", [0.2, 0.4, 0.6, 0.8])
     return c.select("k", X.quantile_bin("bal", edges).alias("bin"))
 
 
@@ -106,10 +106,10 @@ def row_statistics(spark, sf_dir):
     return d.groupBy(*d.columns).agg(F.count("*").alias("copies"))
 
 
-@query(f"SELECT k, {r('CASE WHEN y = 1 THEN NULL ELSE stddev_samp(v) END', 5)} AS row_std FROM (SELECT k, y, unnest([bal, nation * 100.0, 50.0]) AS v FROM {CUSTOMERS} WHERE y = 0) GROUP BY k, y")
+@query(f"SELECT k, {r('stddev_samp(v)', 5)} AS row_std FROM (SELECT k, unnest([bal, nation * 100.0, 50.0]) AS v FROM {CUSTOMERS}) GROUP BY k")
 def row_deviation(spark, sf_dir):
-    """FN-16 for balances of 0 and more; row_deviation_whole has every customer."""
-    return _row_deviation(customers(spark, sf_dir).where("y = 0"))
+    """FN-16: sample deviation across columns, of every customer."""
+    return _row_deviation(customers(spark, sf_dir))
 
 
 @query(f"SELECT k, {r('stddev_samp(v)', 5)} AS row_std FROM (SELECT k, unnest([bal, nation * 100.0, 50.0]) AS v FROM {CUSTOMERS}) GROUP BY k")
@@ -159,7 +159,7 @@ def _space(spark, sf_dir):
   d AS (SELECT q.id, b.vec_id AS nb, b.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, b.embedding::DOUBLE[]), b.vec_id) AS place FROM q JOIN embeddings b ON b.vec_id % 5 <> q.f)
   SELECT id, {r('avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE place <= 10)', 6)} AS near10, {r('avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE place <= 50)', 6)} AS near50 FROM d WHERE place <= 50 GROUP BY id""")
 def neighbour_target(spark, sf_dir):
-    """KNN-2 to KNN-6: target means of the nearest rows outside the own fold; queries are the ids divisible by 20."""
+    """KNN-2: target means of the nearest rows outside the own fold, two k of one search; queries are the ids divisible by 20."""
     s = _space(spark, sf_dir)
     near = knn.nearest(s.where("id % 20 = 0").select("id", "fold", "vec"), s.select("id", "fold", "vec"), 50)
     return rounded(knn.neighbour_means(near, s.select("id", "value"), [10, 50], "near"), 6)
@@ -202,7 +202,7 @@ def rank_blend(spark, sf_dir):
 def hill_climb(spark, sf_dir):
     """ENS-2: greedy blend weights by area; then every row's blend."""
     s = _scores(spark, sf_dir)
-    w = B.hill_climb(s, "y", ["a", "b", "c"], steps=6)
+    w = B.hill_climb(s, "y", ["a", "b", "c"])
     return B.rank_all(s, ["a", "b", "c"]).select("k", stable(B.blend(list(w), list(w.values())), 6).alias("blend"))
 
 
@@ -229,19 +229,21 @@ def top_report(spark, sf_dir):
     return g.orderBy(F.desc("total"), "brand").limit(15)
 
 
-@query("SELECT segment AS segment, brand_is_constant FROM (SELECT c_mktsegment AS segment, NULL::BIGINT AS brand_is_constant FROM customer) GROUP BY ALL")
+@query("SELECT p_partkey AS k, p_brand AS brand, p_size AS size, CAST(NULL AS DOUBLE) AS DOM_missing FROM part")
 def aligned_schema(spark, sf_dir):
-    """PRJ-5, PRJ-11, PRJ-3: constant columns dropped, missing ones added, names cleaned."""
-    c = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("seg-ment"), F.lit(1).alias("one"))
-    c = E.drop_constant(E.clean_names(c))
-    return E.align(c, ["segment", "brand_is_constant"]).select("segment", F.col("brand_is_constant").cast("long").alias("brand_is_constant")).distinct()
+    """PRJ-5, PRJ-11, PRJ-3: names cleaned, constant columns dropped, the asked columns in order, one that lacks as missing; every part."""
+    c = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit(1).alias("one"), F.col("p_brand").alias("bra-nd"), F.col("p_size").alias("si ze"))
+    return E.align(E.drop_constant(E.clean_names(c), ("k",)), ["k", "brand", "size", "DOM_missing"])
 
 
 def _bands(spark, sf_dir):
     return oof.stratified_fold(customers(spark, sf_dir), "k", ["y"], 5)
 
 
-@query("SELECT c_custkey AS k FROM customer")
+@query(f"""WITH b AS (SELECT y, count(*) AS n FROM {CUSTOMERS} GROUP BY 1) SELECT y, f.fold::INT AS fold, n AS stratum, 1 AS balanced FROM b, range(5) AS f(fold)""")
 def stratified_folds(spark, sf_dir):
-    """CV-1: every row in one of five stratified folds (their balance is tested apart)."""
-    return _bands(spark, sf_dir).where("fold between 0 and 4").select("k")
+    """CV-1: the size of each fold in each stratum; folds differ by a row for each of 64 buckets at most, and each holds a fifth of the stratum."""
+    n = _bands(spark, sf_dir).groupBy("y").agg(F.count("*").alias("stratum"), F.array(*[F.struct(F.lit(i).alias("fold"), F.count_if(F.col("fold") == i).alias("n")) for i in range(5)]).alias("f"))
+    apart = F.array_max(F.transform("f", lambda x: x["n"])) - F.array_min(F.transform("f", lambda x: x["n"]))
+    each = n.select("y", "stratum", apart.alias("apart"), F.explode("f").alias("f"))
+    return each.select("y", "f.fold", "stratum", flag((F.col("apart") <= 64) & (F.abs(5 * F.col("f.n") - F.col("stratum")) <= 5 * 64)).alias("balanced"))

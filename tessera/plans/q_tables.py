@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -41,12 +40,12 @@ def no_infinities(spark, sf_dir):
     return history(spark, sf_dir).select("id", stable(missing(F.try_divide(F.col("x"), F.col("t").cast("double"))), 3).alias("rate"))
 
 
-@query(f"SELECT c.k, {r('e.embedding[1]', 6)} AS DAE_0, {r('e.embedding[2]', 6)} AS DAE_1, e.label FROM {CUSTOMERS} c LEFT JOIN embeddings e ON e.vec_id = c.k")
+@query(f"SELECT c.k, {', '.join(f'{r(f"e.embedding[{i + 1}]", 6)} AS DAE_{i}' for i in range(64))}, e.label FROM {CUSTOMERS} c LEFT JOIN embeddings e ON e.vec_id = c.k")
 def embedding_join(spark, sf_dir):
-    """JOIN-9, JOIN-10, JOIN-12: an embedding's columns joined by id, what collides left out."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), *[F.col("embedding")[i].cast("double").alias(f"DAE_{i}") for i in (0, 1)], "label")
+    """JOIN-9, JOIN-10, JOIN-12, SET-5: all 64 of an embedding's columns joined by id, names that collide left out."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), *[F.col("embedding")[i].cast("double").alias(f"DAE_{i}") for i in range(64)], "label")
     c = customers(spark, sf_dir).select("k")
-    return rounded(c.join(e.drop(*[x for x in e.columns if x in c.columns and x != "k"]), "k", "left"), 6)
+    return rounded(c.join(e.drop(*(set(e.columns) & set(c.columns) - {"k"})), "k", "left"), 6)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE (o_orderkey * 2654435761) % 4294967296 < 429496730")
@@ -65,7 +64,7 @@ def score_rollup(spark, sf_dir):
 @query(f"SELECT k AS key, 'balance' AS model, bal AS score FROM {CUSTOMERS}")
 def score_store(spark, sf_dir):
     """SRC-5, SRC-8, SNK-1, SNK-4: two models' scores written by partition, one read back."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-scores-")
+    top = io.shared_folder(spark)
     path = f"{top}/scores-{uuid.uuid4().hex}"
     c = customers(spark, sf_dir)
     io.write_scores(io.register_scores(c, c, "k", "bal"), path, "balance", "k", "bal")
@@ -73,7 +72,20 @@ def score_store(spark, sf_dir):
     return io.read_scores(spark, path, ["balance"]).select("key", "model", "score")
 
 
-@query()
+def _gauss_sql(p: str) -> str:
+    """SQL of encoders.inverse_normal."""
+    a, b, u, d = E.NORMAL
+
+    def poly(cs: list[float], x: str) -> str:
+        out = repr(cs[0])
+        for k in cs[1:]:
+            out = f"({out} * {x} + ({k!r}))"
+        return out
+
+    return f"(SELECT CASE WHEN p < 0.02425 THEN tail WHEN p > 1 - 0.02425 THEN -tail ELSE middle END FROM (SELECT p, {poly(u, 'q')} / ({poly(d, 'q')} * q + 1) AS tail, {poly(a, 'm2')} * m / ({poly(b, 'm2')} * m2 + 1) AS middle FROM (SELECT p, sqrt(-2 * ln(least(p, 1 - p))) AS q, p - 0.5 AS m, (p - 0.5) * (p - 0.5) AS m2 FROM (SELECT {p} AS p))))"
+
+
+@query(f"WITH k AS (SELECT k, rank() OVER (ORDER BY bal) + (count(*) OVER (PARTITION BY bal) - 1) / 2.0 AS rk, count(*) OVER () AS n FROM {CUSTOMERS}) SELECT k, {r(_gauss_sql('(rk - 0.5) / n'), 6)} AS gauss FROM k")
 def rank_gauss(spark, sf_dir):
     """ENC-7: ranks turned into normal quantiles."""
     c = customers(spark, sf_dir).select("k", "bal")
@@ -106,7 +118,7 @@ def refit_blend(spark, sf_dir):
 
 @query()
 def best_method(spark, sf_dir):
-    """ENS-5 to ENS-8, SRT-3: areas of single scores, their blends and a stack; the best by area."""
+    """ENS-5, ENS-8, SRT-3: areas of single scores, their blends and a stack; the best by area."""
     df = B.rank_all(_scored(spark, sf_dir), ["a", "b", "c"]).withColumn("fold", oof.hash_fold("k", 3))
     df = ml.out_of_fold(df, ["a", "b", "c"], "fold", 3, ml.logistic, "stack")
     ways = {"a": F.col("a"), "b": F.col("b"), "c": F.col("c"), "rank_average": B.blend(["a", "b", "c"]), "top2": B.blend(B.top_k(df, "y", ["a", "b", "c"], 2)), "stack": F.col("stack")}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -33,6 +35,21 @@ def scan_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where a query may keep tables of its own: spark.checkpoint.dir; only on a local master may it be unset, and a temporary folder is made."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="tessera-")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once, however often it is used, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_features(df: DataFrame, path: str, partition_by: list[str] | None = None, floats: bool = True) -> None:
     """A feature store: doubles narrowed to floats at the sink alone, infinities missing."""
     cols = [missing(f.name).cast("float").alias(f.name) if floats and isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema]

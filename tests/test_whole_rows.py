@@ -23,6 +23,7 @@ def test_division_by_nation_0_is_by_the_epsilon(spark):
 def test_whole_history(spark):
     h = views.history(spark, SF)
     assert registry.queries()["distinct_rows_whole"](spark, SF).count() == h.select("k", "status").distinct().count()
+    assert registry.queries()["distinct_rows"](spark, SF).count() == h.select("k", "t", "status").distinct().count()
     months = h.groupBy("k", F.floor(F.col("t") / 30.0).alias("month")).count().where("month >= -47").count()
     got = registry.queries()["monthly_rollup_whole"](spark, SF)
     assert got.count() == months and got.agg(F.min("month")).first()[0] == -47
