@@ -5,15 +5,18 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, keep, table
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 CAPACITY = 4096
 EOD = 1
 #: Pieces that one partition packs, about.
@@ -25,8 +28,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A word of plain letters and ASCII marks after it: two tokens' worth of text each of its own, whatever surrounds it.
 PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[!-/:-@\[-^`{-~]*)$"
-#: Parts that one call of the tokenizer takes in one string; bytes of text that are looked up together.
-JOINED, CHUNK = 1000, 8 << 20
+#: Strings that one call of the tokenizer takes, parts in one of them; bytes of text that are looked up together.
+AT_ONCE = 8
+JOINED, CHUNK = 1000, 2 << 20
 
 
 class Ragged:
@@ -39,14 +43,15 @@ class Ragged:
     def take(self, at: np.ndarray) -> "Ragged":
         n = self.lengths[at]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return Ragged(self.flat[np.repeat(self.ends[at] - ends, n) + np.arange(total)], n)
+        place = np.repeat((self.ends[at] - ends).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        return Ragged(self.flat[place], n)
 
 
 class PartIds(dict):
     """Part of a text -> the bytes of its little-endian ids, kept from batch to batch if it was met twice; a full cache starts anew."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -56,7 +61,9 @@ class PartIds(dict):
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # a few at a time: what the tokenizer returns takes many times the room of its ids
+        fast = lambda i: self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for i in range(0, len(texts), AT_ONCE) for e in fast(i)]
 
     def encode_joined(self, parts: list[str]) -> list[bytes]:
         """Parts that are one run of letters or marks each: many go in one string, and each ends at an id that ends a word."""
@@ -138,6 +145,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                     out.append((doc, k, i, stop - i, zlib.crc32(eod, crc) if stop > n else crc))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
