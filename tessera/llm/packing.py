@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, keep, table
+from .common import cut, hand_back, keep, table, tidy
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -52,6 +53,8 @@ class PartIds(dict):
     """Part of a text -> the bytes of its little-endian ids, kept from batch to batch if it was met twice; a full cache starts anew."""
 
     def __init__(self, path: str, most: int = 200_000):
+        # a task has one core, and each thread of the tokenizer would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -145,9 +148,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                     out.append((doc, k, i, stop - i, zlib.crc32(eod, crc) if stop > n else crc))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-            pa.default_memory_pool().release_unused()
+            hand_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

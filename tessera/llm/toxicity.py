@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import keep, table
+from .common import keep, table, tidy
 
 DIMS = 1 << 18
 #: At most so many labelled training documents of each class.
@@ -170,9 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, limit: int = SAM
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t, cache) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
-    rows = chosen.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(hashed, "doc_id long, y int, terms array<int>").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.terms))
-    return FactorizationMachine.fit([r.terms for r in rows], np.array([r.y for r in rows], dtype=np.int64))
+    rows = chosen.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(tidy(hashed), "doc_id long, y int, terms array<int>").toArrow().combine_chunks()
+    ids, y = rows["doc_id"].to_pylist(), rows["y"].to_numpy()
+    found = [x.values.to_numpy() for x in rows["terms"]]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tolist()))
+    return FactorizationMachine.fit([found[i] for i in order], y[order].astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, dims: int = DIMS) -> DataFrame:
@@ -194,6 +196,7 @@ def _scorer(model: FactorizationMachine, dims: int):
         for texts in batches:
             yield pd.Series(model.scores([terms(t, cache) for t in texts]), dtype="float64")
 
+    score = tidy(score)
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return score
 
