@@ -42,3 +42,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id"""
+
+#: CRC-32 from its rule, byte by byte; near words share what is left without one letter, or one is left of the other.
+OP11 = r"""WITH RECURSIVE steps AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)),
+  tab AS (SELECT list(c ORDER BY i) AS t FROM steps),
+  u AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+  c AS (SELECT doc_id, w, count(*) AS n FROM u GROUP BY ALL),
+  b AS (SELECT w, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM c),
+  h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+  s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+  near AS (SELECT x.word, y.word AS other, y.n AS m FROM d x JOIN d y ON x.k = y.k AND x.i = y.i AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM d x JOIN v y ON x.k = y.word
+    UNION SELECT y.word, x.word, x.n FROM d x JOIN v y ON x.k = y.word),
+  best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+  f AS (SELECT v.word, v.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+  r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word"""
+
+#: Every mask meets every order.
+OP13 = r"""WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+  t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+  least AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+  w AS (SELECT t.*, regexp_extract_all(t.text, '[^\x20\x09-\x0D]+') AS w, first FROM t JOIN least ON least.text = t.text),
+  m AS (SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.bad, false) AS bad,
+      [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text),
+       regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS f
+    FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+  c AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM m GROUP BY part, f),
+  i AS (SELECT unnest(range(1, 6)) AS i),
+  o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+  x AS (SELECT part, o, s.i AS step, n, good, bad, f[o[s.i]] AS fails, len(list_filter(list_slice(o, 1, s.i - 1), lambda k: f[k])) AS before,
+      len(list_filter(f, lambda k: k)) AS n_fails FROM c, o, i s),
+  y AS (SELECT part, o, step, sum(CASE WHEN fails OR before > 0 THEN 0 ELSE n END) AS kept, sum(CASE WHEN fails AND before = 0 THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN fails AND before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN fails AND before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND before = 0 THEN bad ELSE 0 END) AS toxic_lost
+    FROM x GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: chr(CAST(64 + k AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM y"""
