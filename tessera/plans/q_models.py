@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.semantics import stable
-from ..operators import ml, oof
+from ..operators import boosting, isolation, ml, oof
 from .views import customers, history
 
 QUERIES: dict = {}
@@ -71,3 +71,17 @@ def pseudo_labels(spark, sf_dir):
     """ML-17, SET-3: training rows and the test rows a teacher is sure of."""
     df = _table(spark, sf_dir)
     return ml.pseudo_labelled(df.where("k % 5 <> 0"), df.where("k % 5 = 0"), FEATURES, "y", 0.05, 0.75).select("k", "y", "pseudo")
+
+
+@query
+def stopped_boosting(spark, sf_dir):
+    """CV-3, CV-4, ML-1: trees cut at the round their fold scores best, two seeds by three folds, and blended with a refit on all training rows for the others."""
+    df = _table(spark, sf_dir).withColumn("fold", oof.hash_fold("k", 3))
+    scores, _ = boosting.stopped_scores(df.where("k % 5 <> 0"), df.where("k % 5 = 0"), "k", FEATURES, "y", "fold", 3, rounds=8)
+    return scores.select("k", "split", *[stable(c, 6).alias(c) for c in ("cv", "full", "score")])
+
+
+@query
+def isolation_anomaly(spark, sf_dir):
+    """ML-13: every customer's anomaly by 200 isolation trees over five columns."""
+    return isolation.isolation_scores(_table(spark, sf_dir), "k", FEATURES).select("k", stable("anomaly", 6).alias("anomaly"))
