@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Rows reach Python tasks in Arrow batches of at most so many bytes from now on: texts differ so much in length that a number of rows bounds nothing. A session with a smaller bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = re.fullmatch(r"(\d+)([kmg]?)b?", str(spark.conf.get(name, "64m")).lower())
+    if said is None or int(said[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[said[2]] > most:
+        spark.conf.set(name, str(most))
+
+
 def lookup(df: DataFrame, side: DataFrame, key: str, most: int, total: int, how: str = "inner") -> DataFrame:
     """df with the columns of side, which has a row for each key (null is one) and n, its rows in df.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, hand_back, keep, table, tidy
+from .common import bounded_batches, cut, hand_back, keep, table, tidy
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -262,4 +262,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFr
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 4096."""
+    bounded_batches(spark)
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

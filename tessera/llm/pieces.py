@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .common import keep, table, tidy
+from .common import bounded_batches, keep, table, tidy
 
 SPACE = "▁"
 #: Bytes of text that are encoded at once; units of at most so many code points are kept, and so many of them.
@@ -228,5 +228,6 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and digests of every document by the installed 32k vocabulary; null texts are empty."""
     import public_tokenizers
 
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), whole=False)

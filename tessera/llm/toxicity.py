@@ -11,12 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import keep, table, tidy
+from .common import bounded_batches, cut, keep, table, tidy
 
 DIMS = 1 << 18
 #: At most so many labelled training documents of each class.
 SAMPLE = 3000
 CUT = 0.7
+#: Standard errors by which the share of a term alone, or of a pair, must differ, and the share of rows from which terms are paired.
+Z_SINGLE, Z_PAIR, SHARE = 4.0, 6.0, 0.01
 #: Learning rates of the weights and the factors, and the weight of their squares.
 RATE, L2 = (0.1, 0.05), 1e-4
 
@@ -121,7 +123,7 @@ def difference(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return (a / pos - b / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
 
 
-def informative(of: np.ndarray, index: np.ndarray, y: np.ndarray, n: int, z_single: float = 4.0, z_pair: float = 6.0, share: float = 0.01, block: int = 1024) -> np.ndarray:
+def informative(of: np.ndarray, index: np.ndarray, y: np.ndarray, n: int, z_single: float = Z_SINGLE, z_pair: float = Z_PAIR, share: float = SHARE, block: int = 1024) -> np.ndarray:
     """The terms, of n, whose share differs between the classes by z_single standard errors, and both terms
     of each pair whose joint share differs by z_pair and by half of that more than either alone.
 
@@ -159,8 +161,24 @@ def informative(of: np.ndarray, index: np.ndarray, y: np.ndarray, n: int, z_sing
     return np.flatnonzero(chosen)
 
 
+def screened(hashes: DataFrame) -> np.ndarray:
+    """The terms of hashes (y, terms) that `informative` may choose, counted by Spark: those that tell the classes
+    apart alone and those frequent enough for pairs. There are at most 1 / SHARE times as many of the latter as a row has terms."""
+    size = hashes.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
+    pos, neg = max(1, size[1]), max(1, size[0] - size[1])
+    counts = hashes.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    share = F.col("n") / (pos + neg)
+    z = (F.col("a") / pos - (F.col("n") - F.col("a")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
+    # a hair under the bound: `informative` decides
+    rows = counts.where((F.abs(z) >= Z_SINGLE - 1e-6) | (F.col("n") >= max(2, SHARE * size[0]))).select("term").toArrow()
+    return np.sort(rows["term"].to_numpy())
+
+
 def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, limit: int = SAMPLE) -> FactorizationMachine:
-    """Fits on a bounded sample: `limit` doc_ids a class by hash of the id, never held-out ones. Of repeated labels the higher holds."""
+    """Fits on a bounded sample: `limit` doc_ids a class by hash of the id, never held-out ones. Of repeated labels the higher holds.
+
+    What reaches the driver of a text, however long, are its terms among those that a count over the sample lets through.
+    """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     pick = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = docs.select("doc_id", "text").join(F.broadcast(pick(1).union(pick(0))), "doc_id")
@@ -170,7 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, limit: int = SAM
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t, cache) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
-    rows = chosen.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(tidy(hashed), "doc_id long, y int, terms array<int>").toArrow().combine_chunks()
+    hashes = cut(chosen.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(tidy(hashed), "doc_id long, y int, terms array<int>"))
+    known = screened(hashes)
+
+    def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [x.values.to_numpy()[np.isin(x.values.to_numpy(), known)] for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
+
+    rows = hashes.mapInArrow(tidy(restricted), hashes.schema).toArrow().combine_chunks()
     ids, y = rows["doc_id"].to_pylist(), rows["y"].to_numpy()
     found = [x.values.to_numpy() for x in rows["terms"]]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tolist()))
@@ -208,6 +234,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, from labels outside the held-out third."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
