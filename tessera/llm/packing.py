@@ -199,12 +199,12 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-PACKED = PIECES + ", part long, bin long, offset long, gap long, room long"
+PACKED = PIECES + ", place long, part long, bin long, offset long, gap long, room long"
 
 
 def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Packs one partition's pieces; gap is its bins above the bound, room the free ids of a piece's bin."""
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "place"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
     lengths = pdf["length"].to_numpy()
     bins = best_fit_decreasing(lengths)
     used = np.bincount(bins, lengths) if len(bins) else np.zeros(0)
@@ -229,16 +229,18 @@ def pack(pieces: DataFrame, per_partition: int = PER_PARTITION, least: float = L
     before is dropped. Only counts reach the driver; repeated rows are pieces of their own; nothing to
     pack gives no rows. pieces should be materialised: full ones are numbered by their place.
     """
-    part = lambda n, salt: F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(salt)), F.lit(n))
+    part = lambda n, salt: F.pmod(F.xxhash64("place", F.lit(salt)), F.lit(n))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    out = pieces.where(F.col("length") >= CAPACITY).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # pieces are dealt by place: ids may be null or repeat
+    pieces = pieces.withColumn("place", F.monotonically_increasing_id())
+    out = pieces.where(F.col("length") >= CAPACITY).select(*cols, (-1 - F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < CAPACITY)
     open_ = ((F.col("gap") > 0) & (F.col("room") > 0)) | (F.col("room") > CAPACITY // 50)
     name = lambda r: (F.lit(r << 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")).alias("sequence_id")
     n_rest, had, before, r = rest.count(), None, None, 0
     while True:
         n = max(1, -(-n_rest // per_partition))
-        packed = cut(rest.select(*cols, part(n, r).alias("part")).groupBy("part").applyInPandas(_pack_group, PACKED))
+        packed = cut(rest.select(*cols, "place", part(n, r).alias("part")).groupBy("part").applyInPandas(_pack_group, PACKED))
         now = packed.groupBy("part", "bin").agg(F.count("*").alias("pieces"), F.max(open_).alias("open"))
         used, bins, n_rest = now.agg(F.count("*"), F.count_if("open"), F.coalesce(F.sum(F.when(F.col("open"), F.col("pieces"))), F.lit(0))).first()
         if before is not None:

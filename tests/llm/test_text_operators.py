@@ -412,3 +412,23 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs_of(spark, []), none).count() == 0
     assert [r.toxic_predicted for r in toxicity.toxicity(docs_of(spark, [(1, "a", "s"), (1, "a", "s")]), none).collect()] == [0, 0]
+
+
+def test_rules_are_computed_once_under_a_filter(spark, corpus):
+    df = quality.quality_rules(docs_of(spark, corpus), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    for wanted in ("kept", "not base_failed", "n_words > 30"):
+        plan = df.where(wanted)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+    assert df.where("kept").count() == sum(r.kept for r in df.collect())
+
+
+def test_null_and_repeated_ids_are_packed_in_many_partitions(spark):
+    pieces = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    pieces = common.cut(pieces.unionByName(pieces.limit(100).withColumn("doc_id", F.lit(4).cast("long"))))
+    packed = packing.pack(pieces, per_partition=4000).collect()
+    assert len(packed) == 30_100 and len({(r.sequence_id, r.offset) for r in packed}) == 30_100
+    per = {}
+    for r in packed:
+        per[r.sequence_id] = per.get(r.sequence_id, 0) + r.length
+    assert max(per.values()) <= 4096 and len(per) <= 30_100 // 6 + 2
+    assert len({s >> 24 for s in per}) >= 4
