@@ -2,15 +2,17 @@
 
 A text becomes its symbols, one a code point; an agenda holds the adjacent pairs that are pieces, the
 best score first and of equal ones the leftmost, and merges them until no pair is a piece. What no
-piece covers falls back to bytes. The sentencepiece library reads the model and normalises, and the
-result of every text is checked against its own in the same Arrow batch.
+piece covers falls back to bytes. Texts fall apart into units at spaces; the agendas of all units that a
+batch meets first are rows of one matrix, from which each round takes every row's best pair, and a long
+unit has a heap. The sentencepiece library reads the model and normalises, and the result of every text
+is checked against its own in the same Arrow batch.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby, pairwise
 
@@ -22,17 +24,18 @@ from .common import bounded_batches, keep, table, tidy
 
 SPACE = "▁"
 #: Bytes of text that are encoded at once; units of at most so many code points are kept, and so many of them.
-CHUNK, SHORT, MOST = 1 << 20, 24, 300_000
-#: A unit: marks of space and what follows up to the next one.
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+CHUNK, SHORT, MOST = 1 << 20, 24, 450_000
+#: Units whose agendas are one matrix.
+AT_ONCE, UNKNOWN = 1 << 13, 1 << 28
 
 
 class Pieces(dict):
     """unit of a normalised text -> its little-endian ids, kept from batch to batch; a full cache starts anew.
 
     Two symbols merge only into a piece, so a text falls apart, exactly, wherever no piece holds the two
-    code points beside each other. Units end before marks of space if no piece has one inside;
-    those that are not in the cache are parted further by the pairs of code points that pieces hold.
+    code points beside each other. A code point that is in no longer piece is a unit of its own, and
+    units end before marks of space if no piece has one inside; long units are parted further by the pairs
+    of code points that pieces hold.
     """
 
     def __init__(self, path: str):
@@ -53,8 +56,11 @@ class Pieces(dict):
         #: piece -> place of its score, the best first; equal scores share one
         self.place = {p: place[library.get_score(i)] for p, i in self.id_of.items()}
         self.none = len(scores)
+        self._number_pairs(names)
         self.beside = {a + b for p in self.id_of for a, b in pairwise(p)}
-        self.parted = not any(b == SPACE != a for a, b in self.beside)
+        joined = "".join(map(re.escape, sorted({c for pair in self.beside for c in pair} - {SPACE}))) or SPACE
+        parted = not any(b == SPACE != a for a, b in self.beside)
+        self.unit = re.compile(f"{SPACE}+[{joined}]*|[{joined}]+|[^{joined}{SPACE}]" if parted else f"[{joined}{SPACE}]+|[^{joined}{SPACE}]", re.DOTALL)
         #: byte -> its id, if the model falls back to bytes
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if library.is_byte(i)}
         self.shown = [b"" if library.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
@@ -67,6 +73,71 @@ class Pieces(dict):
         #: whether normalising puts a mark of space before a text, which decoding takes away
         self.prefix = library.normalize("a").startswith(SPACE)
 
+    def _number_pairs(self, names: list[str]) -> None:
+        """Symbols by number (a piece's id, or one beyond for a code point that is none) and, by the numbers of both
+        sides, the pairs that are pieces."""
+        number = dict(self.id_of)
+        for c in sorted({c for p in self.id_of for c in p} - set(number)):
+            number[c] = len(names) + len(number)
+        self.number, self.no_piece = number, len(names)
+        self.single = {k: c for c, k in number.items() if k >= len(names)}
+        found = sorted((number[p[:i]] << 32 | number[p[i:]], self.place[p], k) for p, k in self.id_of.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        pairs, places, ids = zip(*found) if found else ((), (), ())
+        self.pairs, self.pair_place, self.pair_id = np.array(pairs, dtype=np.int64), np.array([*places, self.none], dtype=np.int32), np.array([*ids, -1], dtype=np.int32)
+
+    def paired(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece) of pairs of symbols by number; a pair that is no piece, or has a side below 0, is at the place none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        at = np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), at, len(self.pairs)) if len(self.pairs) else np.zeros(len(key), dtype=np.int64)
+        return self.pair_place[at], self.pair_id[at]
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Little-endian ids of many units of at most SHORT code points, each of at least one."""
+        n, size = len(units), np.array([len(u) for u in units])
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
+        distinct, of = np.unique(codes, return_inverse=True)
+        row, width = np.repeat(np.arange(n), size), int(size.max()) + 2
+        column = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) + 1
+        # a column of nothing on either side
+        symbol = np.full((n, width), -1, dtype=np.int32)
+        # a code point in no piece has the number UNKNOWN + its own and merges with nothing
+        symbol[row, column] = np.array([self.number.get(chr(c), UNKNOWN + int(c)) for c in distinct])[of]
+        place, piece = np.full((n, width), self.none, dtype=np.int32), np.full((n, width), -1, dtype=np.int32)
+        place[row, column], piece[row, column] = self.paired(symbol[row, column], symbol[row, column + 1])
+        after, before = (np.tile(np.arange(width, dtype=np.int32) + d, (n, 1)) for d in (1, -1))
+        live = np.arange(n)
+        while True:
+            at = place[live].argmin(axis=1)
+            more = place[live, at] < self.none
+            live, at = live[more], at[more]
+            if not len(live):
+                break
+            gone = after[live, at]
+            then, ahead = after[live, gone], before[live, at]
+            symbol[live, at], symbol[live, gone] = piece[live, at], -1
+            place[live, gone], after[live, at], before[live, then] = self.none, then, at
+            place[live, at], piece[live, at] = self.paired(symbol[live, at], symbol[live, then])
+            place[live, ahead], piece[live, ahead] = self.paired(symbol[live, ahead], symbol[live, at])
+        held = symbol >= 0
+        ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+        raw = symbol[held].astype("<u4").tobytes()
+        out = [raw[i:j] for i, j in zip([0, *ends], ends)]
+        for i in np.flatnonzero((symbol >= self.no_piece).any(axis=1)):
+            out[i] = b"".join([k.to_bytes(4, "little") if k < self.no_piece else self.fall_back(chr(k - UNKNOWN) if k >= UNKNOWN else self.single[k]) for k in symbol[i][held[i]].tolist()])
+        return out
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Encodes those of some units that are short and new, all at once."""
+        short = [u for u in units if len(u) <= SHORT]
+        new = [u for u in short if u not in self]
+        if len(self) + len(new) > MOST:
+            self.clear()
+            new = short
+        for i in range(0, len(new), AT_ONCE):
+            self.update(zip(new[i : i + AT_ONCE], self.encode_units(new[i : i + AT_ONCE]), strict=True))
+
     def merged(self, text: str) -> list[str]:
         """The symbols of a text once no adjacent pair is a piece; the agenda of a short one is a plain list of places."""
         place, none, symbols = self.place, self.none, list(text)
@@ -124,11 +195,14 @@ class Pieces(dict):
             self[unit] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """The little-endian ids of a text without begin and end."""
-        text = self.library.normalize(text)
-        units = UNIT.findall(text) if self.parted else [text] if text else []
-        return b"".join([self[u] for u in units])
+    def units(self, text: str) -> list[str]:
+        return self.unit.findall(self.library.normalize(text))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The little-endian ids of texts without begin and end."""
+        units = [self.units(t) for t in texts]
+        self.learn(set().union(*units))
+        return [b"".join([self[u] for u in us]) for us in units]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes in a row, controls left out, the space before the first piece taken away; a byte that is no UTF-8 becomes U+FFFD."""
@@ -207,8 +281,8 @@ def encode_pieces(docs: DataFrame, path: str, whole: bool = True, text: str = "t
                 rows = []
                 library_ids = p.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
                 library_texts = p.library.decode(library_ids, num_threads=1)
-                for t, own_ids, own_text in zip(texts, library_ids, library_texts, strict=True):
-                    raw = p.encode(t).join(ends)
+                for made_ids, own_ids, own_text in zip(p.encode(texts), library_ids, library_texts, strict=True):
+                    raw = made_ids.join(ends)
                     ids = np.frombuffer(raw, dtype="<u4")
                     listed = ids.tolist()
                     back = p.decode(listed)

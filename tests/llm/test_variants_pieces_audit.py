@@ -130,7 +130,7 @@ PARTS = [*"ab  ▁▁\n\t\r\0éß中文\U0001f600<>/s0xAI'.,⁇�​", "<s>", "
 @given(st.lists(st.one_of(st.sampled_from(PARTS), st.characters(codec="utf-8")), max_size=60).map("".join))
 def test_any_text_encodes_and_decodes_as_the_library_does(text):
     p = pieces.pieces(MODEL)
-    ids = np.frombuffer(p.encode(text), dtype="<u4").tolist()
+    ids = np.frombuffer(p.encode([text])[0], dtype="<u4").tolist()
     assert ids == p.library.encode(text)
     assert p.decode([1, *ids, 2]) == p.library.decode([1, *ids, 2])
 
@@ -142,11 +142,20 @@ def test_any_ids_decode_as_in_the_library(ids):
     assert p.decode(ids) == p.library.decode(ids)
 
 
-def test_both_agendas_merge_alike():
+def test_all_agendas_merge_alike():
     p, rng = pieces.Pieces(MODEL), random.Random(2)
-    for _ in range(500):
-        text = "▁" + "".join(rng.choice("aeinrst▁hello") for _ in range(rng.randint(0, pieces.SHORT - 1)))
-        assert p.merged(text) == p.merged_by_heap(list(text))
+    units = ["▁" + "".join(rng.choice("aeinrst▁hello\n😀☃") for _ in range(rng.randint(0, pieces.SHORT - 1))) for _ in range(800)]
+    for u in units:
+        assert p.merged(u) == p.merged_by_heap(list(u))
+    assert p.encode_units(units) == [p.encode_unit(u) for u in units]
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(pieces, "MOST", 20)
+    p, rng = pieces.Pieces(MODEL), random.Random(3)
+    for _ in range(10):
+        texts = [" ".join("".join(rng.choice("aeinrst") for _ in range(6)) for _ in range(8)) for _ in range(3)]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in p.encode(texts)] == p.library.encode(texts)
 
 
 def test_encoded_documents_match_the_library_whole(spark):
