@@ -1,52 +1,161 @@
-"""Exact nearest neighbours of a set of queries among all rows, in blocks."""
+"""Exact nearest neighbours among all rows, by pivots and the triangle inequality."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.io import staged
 from .metrics import exact_quantiles
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 4096, n_base: int | None = None) -> DataFrame:
+#: Rows of base by whose distances all others are told apart, and pairs (query, neighbour) that a task holds.
+PIVOTS, HELD = 64, 1 << 21
+PLACED = "id long, fold double, vec array<double>, cell int, dist double"
+
+
+def matrix(vec: pd.Series) -> np.ndarray:
+    return np.stack(vec.to_numpy()).astype(float)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances of rows of x to the few rows of y, measured one by one: no error of a product."""
+    return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in y], axis=1)
+
+
+class Bests:
+    """The k nearest base rows so far of a block of queries: of each its distances and ids, ascending."""
+
+    def __init__(self, ids: np.ndarray, folds: np.ndarray, x: np.ndarray, reach: np.ndarray, pivots: np.ndarray, k: int):
+        self.ids, self.folds, self.x, self.k = ids, folds, x, k
+        self.to_pivots = distances(x, pivots)
+        self.found = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+        #: no row beyond it can be among the k nearest
+        self.bound = reach.copy()
+        self.compared = 0
+
+    def meet(self, ids: np.ndarray, folds: np.ndarray, y: np.ndarray, cells: np.ndarray, dists: np.ndarray) -> None:
+        """A row is as far from a query, at least, as their distances to a pivot differ; what that leaves is one product of matrices."""
+        edge = self.bound * (1 + 1e-9) + 1e-12
+        may = (np.abs(self.to_pivots[:, cells] - dists[None, :]) <= edge[:, None]) & (self.folds[:, None] != folds[None, :])
+        i, j = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(i):
+            return
+        self.compared += len(i) * len(j)
+        q, z, ids = self.x[i], y[j], ids[j]
+        squares = (q**2).sum(axis=1)[:, None] + (z**2).sum(axis=1)[None, :] - 2 * q @ z.T
+        # the product is off by rounding: what may be among the k nearest is measured again
+        slack = 1e-9 * (1 + np.abs(q).sum(axis=1) ** 2 + (np.abs(z).sum(axis=1) ** 2).max())
+        near = may[np.ix_(i, j)] & (squares <= (edge[i] ** 2 + slack)[:, None])
+        for r in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[r])
+            if len(at) > self.k:
+                # of many only those that may be among the k nearest of this part
+                part = squares[r, at]
+                at = at[part <= np.partition(part, self.k - 1)[self.k - 1] + 2 * slack[r]]
+            d, n = self.found[i[r]]
+            d, n = np.concatenate([d, np.sqrt(((z[at] - q[r]) ** 2).sum(axis=1))]), np.concatenate([n, ids[at]])
+            order = np.lexsort((n, d))[: self.k]
+            self.found[i[r]] = d[order], n[order]
+            if len(order) == self.k:
+                self.bound[i[r]] = min(self.bound[i[r]], d[order[-1]])
+
+    def rows(self) -> pa.RecordBatch:
+        size = [len(d) for d, _ in self.found]
+        columns = [np.repeat(self.ids, size), np.concatenate([n for _, n in self.found]), np.concatenate([d for d, _ in self.found]), np.concatenate([np.arange(1, n + 1) for n in size])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "neighbour", "distance", "place"])
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, pivots: int = PIVOTS, block: int | None = None, compared: Accumulator | None = None) -> DataFrame:
     """(query, neighbour, distance, place): the k nearest rows of base (id, fold, vec) of each of queries (id, fold, vec)
-    outside its own fold (NULL: among all), by Euclidean distance and then id.
-
-    Both sides are dealt into blocks; each pair of blocks is a product of matrices, 256 queries at a
-    time, that keeps k rows a query, and the blocks' bests meet in a ranking by query. A task holds
-    two blocks.
+    outside its own fold (NULL: among all), by Euclidean distance and then id. Exact.
+
+    Each row lies in the cell of its nearest pivot, one of a few rows of base. How many rows the cells
+    hold, and how far out, bounds the distance of a query's k-th neighbour, and so the cells it has to
+    see. Queries of one cell form blocks; base rows of the cells that a block has to see stream past it, the
+    nearest cells first, and a row is compared where the triangle inequality does not rule it out. A task
+    holds one block of queries with their best k so far, and only these leave it. Folds are few: the
+    counts of each cell's folds reach the driver. `compared` adds up the pairs whose distance was computed.
     """
-    n_q, n_b = max(1, -(-queries.count() // block)), max(1, -(-(n_base or base.count()) // block))
-    q = queries.select(F.lit(0).alias("side"), "id", F.col("fold").cast("long").alias("fold"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))).alias("bb"))
-    b = base.select(F.lit(1).alias("side"), "id", F.col("fold").cast("long").alias("fold"), F.col("vec").cast("array<double>").alias("vec"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_b)).alias("bb"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
-        cols = {"query": [], "neighbour": [], "distance": []}
-        if len(left) and len(right):
-            x, y = np.stack(left.vec.to_numpy()), np.stack(right.vec.to_numpy())
-            ids, folds, own = right.id.to_numpy(), right.fold.to_numpy(dtype=float), left.fold.to_numpy(dtype=float)
-            names = left.id.to_numpy()
-            for low in range(0, len(x), 256):
-                q = x[low : low + 256]
-                near = (q**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * q @ y.T
-                near[own[low : low + 256, None] == folds[None, :]] = np.inf
-                # the product is off by rounding: what may be among the k nearest is measured again
-                kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-                slack = 1e-9 * (1 + np.abs(q).sum(axis=1) ** 2 + (np.abs(y).sum(axis=1) ** 2).max())
-                for i in range(len(q)):
-                    at = np.flatnonzero((near[i] <= kth[i] + slack[i]) & np.isfinite(near[i]))
-                    d = np.sqrt(((y[at] - q[i]) ** 2).sum(axis=1))
-                    order = np.argsort(d, kind="stable")[:k]
-                    cols["query"] += [names[low + i]] * len(order)
-                    cols["neighbour"] += ids[at[order]].tolist()
-                    cols["distance"] += d[order].tolist()
-        return pd.DataFrame(cols)
-
-    pairs = q.unionByName(b).groupBy("qb", "bb").applyInPandas(best, "query long, neighbour long, distance double")
-    place = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    spark = queries.sparkSession
+    of = lambda df: df.select("id", F.col("fold").cast("double").alias("fold"), F.col("vec").cast("array<double>").alias("vec"))
+    queries, base = of(queries), of(base)
+    first = [r.vec for r in base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    if not first:
+        return spark.createDataFrame([], "query long, neighbour long, distance double, place long")
+    centres = np.unique(np.array(first, dtype=float), axis=0)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = distances(matrix(b.vec), centres)
+                yield b.assign(cell=d.argmin(axis=1).astype(np.int32), dist=d.min(axis=1))
+
+    base = staged(base.mapInPandas(placed, PLACED))
+    counts = base.groupBy("cell", "fold").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    cells = counts.groupby("cell").agg(n=("n", "sum"), low=("low", "min"), high=("high", "max"))
+    inside = counts.dropna(subset=["fold"]).pivot_table(index="cell", columns="fold", values="n", fill_value=0).reindex(cells.index, fill_value=0)
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, n, low, high = cells.index.to_numpy(), cells.n.to_numpy(), cells.low.to_numpy(), cells.high.to_numpy()
+        for b in batches:
+            if not len(b):
+                continue
+            d = distances(matrix(b.vec), centres)
+            own = d[:, names]
+            open_ = np.stack([n - inside[f].to_numpy() if f in inside else n for f in b.fold.to_numpy()])
+            order = np.argsort(own + high, axis=1)
+            enough = np.cumsum(np.take_along_axis(open_, order, 1), axis=1) >= k
+            kth = np.take_along_axis(own + high, order, 1)[np.arange(len(b)), enough.argmax(axis=1)]
+            reach = np.where(enough.any(axis=1), kth, np.inf)
+            see = np.maximum(own - high, low - own) <= (reach * (1 + 1e-9) + 1e-12)[:, None]
+            yield b.assign(cell=d.argmin(axis=1).astype(np.int32), dist=reach, cells=[names[s].astype(np.int32) for s in see])
+
+    queries = staged(queries.mapInPandas(bounded, PLACED + ", cells array<int>"))
+    block = block or max(64, min(4096, HELD // k))
+    blocks = queries.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    queries = queries.join(F.broadcast(blocks), "cell").withColumn("block", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    # a cell may hold most rows: it is dealt by hash as well
+    salts = max(1, base.count() // (len(centres) * 50_000))
+    need = queries.select("block", F.col("cell").alias("home"), F.explode("cells").alias("cell")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    apart = F.array(*[F.lit(float(x)) for x in distances(centres, centres).reshape(-1)])
+    theirs = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(need, ["cell", "salt"])
+    theirs = theirs.select("block", F.lit(1).alias("side"), "id", "fold", "vec", "cell", "dist", F.element_at(apart, F.col("home") * len(centres) + F.col("cell") + 1).alias("far"))
+    rows = queries.select("block", F.lit(0).alias("side"), "id", "fold", "vec", "cell", "dist", F.lit(0.0).alias("far")).unionByName(theirs)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, bests = None, [], None
+        for b in batches:
+            blocks_, side, ids = (b.column(i).to_numpy() for i in range(3))
+            folds, cell, dist = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6))
+            x = b.column(4).flatten().to_numpy().reshape(len(ids), -1)
+            cuts = [0, *(np.flatnonzero((np.diff(blocks_) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(ids)]
+            for i, j in zip(cuts, cuts[1:]):
+                if side[i] == 0:
+                    if blocks_[i] != now:
+                        if bests is not None:
+                            yield bests.rows()
+                            count(bests)
+                        now, mine, bests = blocks_[i], [], None
+                    mine.append((ids[i:j], folds[i:j], x[i:j], dist[i:j]))
+                    continue
+                if bests is None:
+                    bests = Bests(*(np.concatenate(c) for c in zip(*mine)), centres, k)
+                bests.meet(ids[i:j], folds[i:j], x[i:j], cell[i:j], dist[i:j])
+        if bests is not None:
+            yield bests.rows()
+            count(bests)
+
+    def count(bests: Bests) -> None:
+        if compared is not None:
+            compared.add(bests.compared)
+
+    return rows.repartition("block").sortWithinPartitions("block", "side", "far", "cell").mapInArrow(search, "query long, neighbour long, distance double, place long")
 
 
 def neighbour_means(near: DataFrame, payload: DataFrame, ks: list[int], prefix: str) -> DataFrame:

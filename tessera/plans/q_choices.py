@@ -222,3 +222,17 @@ def chosen_columns(spark, sf_dir):
         names = tables.subset(names, {"price": 3.0, "META_tax": 2.5, "qty": 2.0, "disc": 0.5}, 3, ("META_",))
     d = d.select(*tables.ordered_names(["id"], sorted(names, reverse=True), ["id"]))
     return d.groupBy(*d.columns).agg(F.count("*").alias("copies"))
+
+
+_PLACES = f"(SELECT c.k AS id, c.k % 5 AS fold, [c.bal / 1000, c.nation / 5.0, coalesce(h.x, 0) / 100000] AS v, c.y FROM {CUSTOMERS} c LEFT JOIN (SELECT k, avg(x) AS x FROM {HISTORY} GROUP BY k) h ON h.k = c.k)"
+
+
+@query(f"""WITH p AS {_PLACES},
+  n AS (SELECT q.id, b.y, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, b.v), b.id) AS place FROM p q JOIN p b ON b.fold <> q.fold)
+  SELECT id, {', '.join(f'{r(f"avg(y) FILTER (WHERE place <= {k})", 6)} AS NEAR{k}' for k in (100, 500, 1000))} FROM n GROUP BY id""")
+def neighbour_target_all(spark, sf_dir):
+    """KNN-2, KNN-4: every customer's target means over the 100, 500 and 1000 nearest outside its own fold, by one search."""
+    x = history(spark, sf_dir).groupBy("k").agg(F.avg("x").alias("x"))
+    c = customers(spark, sf_dir).join(x, "k", "left")
+    rows = io.staged(c.select(F.col("k").alias("id"), (F.col("k") % 5).alias("fold"), F.array(F.col("bal") / 1000, F.col("nation") / 5.0, F.coalesce("x", F.lit(0.0)) / 100000).alias("vec"), F.col("y").cast("double").alias("value")))
+    return rounded(knn.neighbour_means(knn.nearest(rows, rows, 1000), rows.select("id", "value"), [100, 500, 1000], "NEAR"), 6)
