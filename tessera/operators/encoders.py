@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.semantics import c
+from ..functions.semantics import c, missing
 from .metrics import below, exact_quantiles
 
 
@@ -111,3 +112,30 @@ def first_present(df: DataFrame, names: list[str]) -> Column:
     """The first of the named columns that exists, as a number; NULL where it is none or there is none."""
     name = next((n for n in names if n in df.columns), None)
     return F.lit(None).cast("double") if name is None else F.col(name).try_cast("double")
+
+
+def normal_scores(train: DataFrame, df: DataFrame, column: str, out: str, quantiles: int = 1000) -> DataFrame:
+    """df with `out`: its values placed among at most `quantiles` quantiles of train's, by interpolation, as normal scores.
+
+    A value that several quantiles share lies in their middle; up to the least quantile and from the highest on
+    lie the scores of 1e-7 and 1 - 1e-7. Missing stays missing, NaN and infinite count as missing; without known values in train all is. What
+    reaches the driver are the quantiles.
+    """
+    known = train.select(missing(F.col(column).cast("double")).alias(column)).where(F.col(column).isNotNull())
+    n = min(quantiles, known.count())
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    at = [i / (n - 1) if n > 1 else 0.0 for i in range(n)]
+    table: dict[float, list[float]] = {}
+    for p, v in zip(at, exact_quantiles(known, column, at), strict=True):
+        table.setdefault(v, []).append(p)
+    values = sorted(table)
+    arrays = [F.split(F.lit(" ".join(map(repr, x))), " ").cast("array<double>") for x in (values, [table[v][0] for v in values], [table[v][-1] for v in values])]
+    number = Bucketizer(splits=[-float("inf"), *values, float("inf")], inputCol="_x", outputCol="_i", handleInvalid="keep")
+    df = number.transform(df.withColumn("_x", missing(F.col(column).cast("double"))))
+    i = F.least(F.col("_i").cast("int"), F.lit(len(values)))
+    v, first, last = (lambda k, a=a: F.try_element_at(a, k) for a in arrays)
+    between = last(i) + (F.col("_x") - v(i)) / (v(i + 1) - v(i)) * (first(i + 1) - last(i))
+    place = F.when(F.col("_x") <= values[0], 0.0).when(F.col("_x") >= values[-1], 1.0).when(F.col("_x") == v(i), (first(i) + last(i)) / 2).otherwise(between)
+    clipped = F.least(F.greatest(place, F.lit(1e-7)), F.lit(1 - 1e-7))
+    return df.withColumn(out, F.when(F.col("_x").isNotNull(), inverse_normal(clipped))).drop("_x", "_i")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.io import staged
 from .metrics import auc, rank01
+from .search import simplex_search
 from .tables import softmax
 
 
@@ -49,20 +54,21 @@ def hill_climb(df: DataFrame, label: str, scores: list[str], steps: int = 2000,
     return {s: picked.count(s) / len(picked) for s in scores}
 
 
-def search_weights(df: DataFrame, label: str, scores: list[str], step: float = 1.0, least: float = 0.05) -> dict[str, float]:
-    """Softmax weights by a pattern search on the area: every score's logit is tried up and down in one query, the best
-    move is taken, and where none is better the step is halved, until it is under `least`."""
-    df = rank_all(df, scores).cache()
-    of = lambda x: dict(zip(scores, softmax([x[s] for s in scores]), strict=True))
-    at = {s: 0.0 for s in scores}
-    best = auc_of(df, label, {"now": blend(scores, list(of(at).values()))})["now"]
-    while step >= least:
-        moves = {f"{s}|{d}": {**at, s: at[s] + d * step} for s in scores for d in (-1, 1)}
-        found = auc_of(df, label, {k: blend(scores, list(of(m).values())) for k, m in moves.items()})
-        k = max(found, key=lambda x: (found[x], x))
-        if found[k] > best + 1e-9:
-            best, at = found[k], moves[k]
-        else:
-            step /= 2
-    df.unpersist()
-    return of(at)
+def search_weights(df: DataFrame, label: str, scores: list[str], steps: int = 40) -> dict[str, float]:
+    """Weights by a simplex search on the area of the blend, from two starts: softmax of logits that begin at zero, and absolute values,
+    made to sum to one, that begin with each score's own lead over a half. A step is one query."""
+    df = staged(rank_all(df, scores).select(label, *scores))
+    share = lambda x: [float(v) / (float(np.abs(x).sum()) or 1.0) for v in np.abs(x)] if np.abs(x).sum() else [1.0 / len(x)] * len(x)
+
+    def values(ways: Callable) -> Callable[[list[np.ndarray]], list[float]]:
+        def of(points: list[np.ndarray]) -> list[float]:
+            found = auc_of(df, label, {str(i): blend(scores, ways(p)) for i, p in enumerate(points)})
+            return [found[str(i)] for i in range(len(points))]
+
+        return of
+
+    alone = auc_of(df, label, {s: F.col(s) for s in scores})
+    soft = lambda x: softmax([float(v) for v in x])
+    starts = [(soft, np.zeros(len(scores)), 1.0), (share, np.array([max(alone[s] - 0.5, 0.01) for s in scores]), 0.2)]
+    best = max(((ways, *simplex_search(values(ways), at, size, steps)) for ways, at, size in starts), key=lambda x: x[2])
+    return dict(zip(scores, best[0](best[1]), strict=True))

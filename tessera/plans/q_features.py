@@ -208,7 +208,7 @@ def hill_climb(spark, sf_dir):
 
 @query()
 def weight_search(spark, sf_dir):
-    """ENS-1: blend weights by a pattern search on the area; then every row's blend."""
+    """ENS-1: blend weights by a simplex search on the area, from two starts; then every row's blend."""
     s = _scores(spark, sf_dir)
     w = B.search_weights(s, "y", ["a", "b", "c"])
     return B.rank_all(s, ["a", "b", "c"]).select("k", stable(B.blend(list(w), list(w.values())), 6).alias("blend"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.semantics import stable
-from ..operators import boosting, isolation, ml, oof
+from ..operators import boosting, isolation, metrics, ml, oof, search
+from ..sources import io
 from .views import customers, history
 
 QUERIES: dict = {}
@@ -85,3 +89,21 @@ def stopped_boosting(spark, sf_dir):
 def isolation_anomaly(spark, sf_dir):
     """ML-13: every customer's anomaly by 200 isolation trees over five columns."""
     return isolation.isolation_scores(_table(spark, sf_dir), "k", FEATURES).select("k", stable("anomaly", 6).alias("anomaly"))
+
+
+@query
+def parameter_search(spark, sf_dir):
+    """ML-15, SRC-7: eight trials of a logistic learner's penalties by the area on held-out customers, in two calls of which the second goes on from the log; the log."""
+    df = io.staged(ml.assembled(_table(spark, sf_dir), FEATURES).select("k", "y", "features"))
+    train, held = df.where("k % 4 <> 0"), df.where("k % 4 = 0")
+    log = search.TrialLog(spark, f"{io.shared_folder(spark)}/trials-{uuid.uuid4().hex}", "logistic")
+    space = {"penalty": search.Range(1e-5, 1.0, logarithmic=True), "mixture": search.Range(0.0, 1.0), "rounds": search.Range(5, 40, whole=True)}
+
+    def area(p: dict) -> float:
+        model = LogisticRegression(labelCol="y", regParam=p["penalty"], elasticNetParam=p["mixture"], maxIter=p["rounds"]).fit(train)
+        return metrics.auc(ml.probability(model.transform(held), "score"), "score", "y").first()[0]
+
+    for upto in (5, 8):
+        search.search(log, space, area, upto, random=4)
+    best = F.col("value") == F.max("value").over(W.partitionBy("study"))
+    return log.table().select("trial", "parameters", stable("value", 6).alias("value"), best.alias("best"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.semantics import flag, missing, sentinel, stable
-from ..operators import encoders as E, ensemble as B, metrics as M, ml, oof, sequences as S
+from ..operators import encoders as E, ensemble as B, metrics as M, ml, noise, oof, sequences as S
 from ..sources import io
 from .q_aggregates import rounded
 from .views import CUSTOMERS, HISTORY, customers, history, load, r
@@ -93,6 +93,36 @@ def rank_gauss(spark, sf_dir):
     return M.average_rank(c, "bal", "rank").select("k", stable(E.inverse_normal((F.col("rank") - 0.5) / n), 6).alias("gauss"))
 
 
+_AT = [i / 199 for i in range(200)]
+
+
+@query(f"""WITH c AS (SELECT k, CASE WHEN k % 9 <> 0 THEN floor(bal / 20) * 20 END AS x FROM {CUSTOMERS}),
+  t AS (SELECT quantile_cont(x, {_AT}) AS q FROM c WHERE k % 4 <> 0),
+  u AS (SELECT unnest(q) AS v, unnest({_AT}) AS at FROM t),
+  d AS (SELECT v, min(at) AS a, max(at) AS z, lead(v) OVER (ORDER BY v) AS v2, lead(min(at)) OVER (ORDER BY v) AS a2, min(v) OVER () AS low, max(v) OVER () AS high FROM u GROUP BY v),
+  e AS (SELECT min(v) AS low, max(v) AS high FROM u),
+  p AS (SELECT c.k, CASE WHEN c.x <= e.low THEN 0.0 WHEN c.x >= e.high THEN 1.0 WHEN c.x = d.v THEN (d.a + d.z) / 2 ELSE d.z + (c.x - d.v) / (d.v2 - d.v) * (d.a2 - d.z) END AS p
+    FROM c CROSS JOIN e LEFT JOIN d ON c.x >= d.v AND (d.v2 IS NULL OR c.x < d.v2) WHERE c.k % 4 = 0)
+  SELECT k, {r(_gauss_sql('least(greatest(p, 1e-7), 1 - 1e-7)'), 5)} AS gauss FROM p""")
+def normal_scores(spark, sf_dir):
+    """ENC-7: rows that were not fitted, placed among 200 quantiles of those that were, as normal scores."""
+    x = F.when(F.col("k") % 9 != 0, F.floor(F.col("bal") / 20) * 20)
+    c = customers(spark, sf_dir).select("k", x.cast("double").alias("x"))
+    out = E.normal_scores(c.where("k % 4 <> 0"), c.where("k % 4 = 0"), "x", "gauss", 200)
+    return out.select("k", stable("gauss", 5).alias("gauss"))
+
+
+@query()
+def swapped_columns(spark, sf_dir):
+    """ML-11: the columns of a denoiser's input, filled and as normal scores, a sixth of each swapped among customers; both versions side by side."""
+    df = E.impute_median(_scored(spark, sf_dir).select("k", "a", "b", "c"), ["a", "b", "c"], flags=False)
+    for x in ("a", "b", "c"):
+        df = E.normal_scores(df, df, x, f"{x}_in")
+    df = io.staged(df.select("k", *[stable(f"{x}_in", 6).alias(x) for x in ("a", "b", "c")]))
+    noisy = noise.swap_noise(df, "k", ["a", "b", "c"], 1 / 6)
+    return noisy.join(df.select("k", *[F.col(x).alias(f"{x}_clean") for x in ("a", "b", "c")]), "k")
+
+
 @query()
 def row_level_scores(spark, sf_dir):
     """BLK-42, CV-2, JOIN-5: a model of history rows with their customer's label, folds by customer, scores rolled up."""
