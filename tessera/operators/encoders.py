@@ -137,5 +137,5 @@ def normal_scores(train: DataFrame, df: DataFrame, column: str, out: str, quanti
     v, first, last = (lambda k, a=a: F.try_element_at(a, k) for a in arrays)
     between = last(i) + (F.col("_x") - v(i)) / (v(i + 1) - v(i)) * (first(i + 1) - last(i))
     place = F.when(F.col("_x") <= values[0], 0.0).when(F.col("_x") >= values[-1], 1.0).when(F.col("_x") == v(i), (first(i) + last(i)) / 2).otherwise(between)
-    clipped = F.least(F.greatest(place, F.lit(1e-7)), F.lit(1 - 1e-7))
-    return df.withColumn(out, F.when(F.col("_x").isNotNull(), inverse_normal(clipped))).drop("_x", "_i")
+    df = df.withColumn("_p", F.when(F.col("_x").isNotNull(), F.least(F.greatest(place, F.lit(1e-7)), F.lit(1 - 1e-7))))
+    return df.withColumn(out, inverse_normal(F.col("_p"))).drop("_x", "_i", "_p")

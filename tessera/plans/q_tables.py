@@ -98,12 +98,12 @@ _AT = [i / 199 for i in range(200)]
 
 @query(f"""WITH c AS (SELECT k, CASE WHEN k % 9 <> 0 THEN floor(bal / 20) * 20 END AS x FROM {CUSTOMERS}),
   t AS (SELECT quantile_cont(x, {_AT}) AS q FROM c WHERE k % 4 <> 0),
-  u AS (SELECT unnest(q) AS v, unnest({_AT}) AS at FROM t),
-  d AS (SELECT v, min(at) AS a, max(at) AS z, lead(v) OVER (ORDER BY v) AS v2, lead(min(at)) OVER (ORDER BY v) AS a2, min(v) OVER () AS low, max(v) OVER () AS high FROM u GROUP BY v),
+  u AS (SELECT unnest(q) AS v, unnest({_AT}) AS pos FROM t),
+  d AS (SELECT v, min(pos) AS a, max(pos) AS z, lead(v) OVER (ORDER BY v) AS v2, lead(min(pos)) OVER (ORDER BY v) AS a2, min(v) OVER () AS low, max(v) OVER () AS high FROM u GROUP BY v),
   e AS (SELECT min(v) AS low, max(v) AS high FROM u),
-  p AS (SELECT c.k, CASE WHEN c.x <= e.low THEN 0.0 WHEN c.x >= e.high THEN 1.0 WHEN c.x = d.v THEN (d.a + d.z) / 2 ELSE d.z + (c.x - d.v) / (d.v2 - d.v) * (d.a2 - d.z) END AS p
+  p AS (SELECT c.k, CASE WHEN c.x <= e.low THEN 0.0 WHEN c.x >= e.high THEN 1.0 WHEN c.x = d.v THEN (d.a + d.z) / 2 ELSE d.z + (c.x - d.v) / (d.v2 - d.v) * (d.a2 - d.z) END AS place
     FROM c CROSS JOIN e LEFT JOIN d ON c.x >= d.v AND (d.v2 IS NULL OR c.x < d.v2) WHERE c.k % 4 = 0)
-  SELECT k, {r(_gauss_sql('least(greatest(p, 1e-7), 1 - 1e-7)'), 5)} AS gauss FROM p""")
+  SELECT k, CASE WHEN place IS NOT NULL THEN {r(_gauss_sql('least(greatest(place, 1e-7), 1 - 1e-7)'), 5)} END AS gauss FROM p""")
 def normal_scores(spark, sf_dir):
     """ENC-7: rows that were not fitted, placed among 200 quantiles of those that were, as normal scores."""
     x = F.when(F.col("k") % 9 != 0, F.floor(F.col("bal") / 20) * 20)

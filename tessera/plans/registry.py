@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_aggregates, q_assembly, q_blocks, q_children, q_choices, q_features, q_models, q_sequences, q_tables
+from . import q_aggregates, q_assembly, q_blocks, q_children, q_choices, q_features, q_models, q_sequences, q_slices, q_tables
 
-MODULES = [q_aggregates, q_sequences, q_features, q_tables, q_blocks, q_children, q_choices, q_models, q_assembly]
+MODULES = [q_aggregates, q_sequences, q_features, q_tables, q_blocks, q_children, q_choices, q_models, q_slices, q_assembly]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
