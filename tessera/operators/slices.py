@@ -136,3 +136,36 @@ def frequencies(df: DataFrame, columns: list[str], prefix: str = "FREQ_") -> Dat
         n = rows.groupBy(name.alias("_v")).agg(F.count("*").alias(f"{prefix}{x}"))
         df = df.join(n, name == F.col("_v"), "left").drop("_v")
     return df
+
+
+def windows_and_tails(df: DataFrame, order: list[str], measures: dict[str, tuple[Column | str, str]], name: str, windows: dict[str, int], tails: tuple[int, ...] = (), time: str = "t", per_window: dict[str, tuple[str, ...]] | None = None, trends: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """By k: each measure (column, statistic of STATS, `sum` or `count`) over all rows, over the newest days of each window and over the newest few rows by order, and a window's value less that of all.
+
+    Columns are <name>ALL_, <name>W<window>_, <name>L<rows>_ and <name>TREND_<window>_ with the measure's name. per_window
+    names the measures of each kind (`ALL`, `W`, `L`), by default all; trends are (window, measure). One
+    aggregate after one numbering; a window without rows gives NULL, counts and sums too.
+    """
+    n = S.numbered(df, ["k"], order, "_new") if tails else df
+    kinds = {k: (per_window or {}).get(k, tuple(measures)) for k in ("ALL", "W", "L")}
+
+    def value(measure: str, when: Column | None) -> Column:
+        x, stat = measures[measure]
+        x = c(x) if when is None else F.when(when, c(x))
+        if stat in STATS:
+            return STATS[stat](x)
+        v = F.count(x) if stat == "count" else F.coalesce(F.sum(x), F.lit(0))
+        return v if when is None else F.when(F.count(F.when(when, 1)) > 0, v)
+
+    inside = {w: F.col(time) >= -d for w, d in windows.items()}
+    cols = [value(m, None).alias(f"{name}ALL_{m}") for m in kinds["ALL"]]
+    cols += [value(m, inside[w]).alias(f"{name}W{w}_{m}") for w in windows for m in kinds["W"]]
+    cols += [value(m, F.col("_new") <= k).alias(f"{name}L{k}_{m}") for k in tails for m in kinds["L"]]
+    cols += [(value(m, inside[w]) - value(m, None)).alias(f"{name}TREND_{w}_{m}") for w, m in trends]
+    return n.groupBy("k").agg(*cols)
+
+
+def decay_and_lag(df: DataFrame, order: list[str], columns: dict[str, float | None], name: str) -> DataFrame:
+    """By k: of each column the half-life mean at the newest row (none where the half-life is None) and the newest known value less the mean."""
+    n = S.numbered(df, ["k"], order, "_new")
+    cols = [S.half_life_mean(x, "_new", h).alias(f"{name}_EMA_{x}") for x, h in columns.items() if h is not None]
+    return n.groupBy("k").agg(*cols, *[(S.latest_value(x, order) - F.avg(x)).alias(f"{name}_LASTvMEAN_{x}") for x in columns])

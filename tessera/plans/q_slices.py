@@ -213,3 +213,100 @@ def gap_families(spark, sf_dir):
     })
     d = L.frequencies(staged(d), ["COMBO", "segment"])
     return rounded(d.select("k", *[c for c in d.columns if c.startswith(("GAP_PRES", "GAP_CON"))], "COMBO", "FREQ_COMBO", "FREQ_segment"))
+
+
+def windows_sql(source: str, order: str, measures: dict[str, tuple[str, str]], name: str, windows: dict[str, int], tails: tuple[int, ...] = (), time: str = "t", per_window: dict[str, tuple[str, ...]] | None = None, trends: tuple[tuple[str, str], ...] = (), whole: tuple[str, ...] = ()) -> str:
+    """SQL of operators.slices.windows_and_tails; measures in `whole` are integers."""
+    kinds = {k: (per_window or {}).get(k, tuple(measures)) for k in ("ALL", "W", "L")}
+
+    def value(m: str, when: str | None) -> str:
+        x, stat = measures[m]
+        f = f" FILTER (WHERE {when})" if when else ""
+        if stat in ("sum", "count"):
+            v = f"{stat}({x}){f}"
+            v = f"coalesce({v}, 0)" if stat == "sum" else v
+            return f"CASE WHEN count(*){f} > 0 THEN {v} END" if when else v
+        return f"{ {'mean': 'avg'}.get(stat, stat) }({x}){f}"
+
+    show = lambda m, v: v if m in whole else r(v)
+    cols = [f"{show(m, value(m, None))} AS {name}ALL_{m}" for m in kinds["ALL"]]
+    cols += [f"{show(m, value(m, f'{time} >= -{d}'))} AS {name}W{w}_{m}" for w, d in windows.items() for m in kinds["W"]]
+    cols += [f"{show(m, value(m, f'a <= {k}'))} AS {name}L{k}_{m}" for k in tails for m in kinds["L"]]
+    cols += [f"{r(value(m, f'{time} >= -{windows[w]}') + ' - ' + value(m, None))} AS {name}TREND_{w}_{m}" for w, m in trends]
+    return f"SELECT k, {', '.join(cols)} FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {order}) AS a FROM {source}) GROUP BY k"
+
+
+_PREV = {"COUNT": ("t", "count"), "x_SUM": ("x", "sum"), "REFUSED_MEAN": ("refused", "mean"), "REFUSED_SUM": ("refused", "sum"), "x_MEAN": ("x", "mean"), "off_MEAN": ("off", "mean"), "t_MAX": ("t", "max")}
+_PREV_WHEN = {"windows": {"1Y": 365, "2Y": 730}, "tails": (1, 3, 5), "per_window": {"ALL": (), "W": ("COUNT", "x_SUM", "REFUSED_MEAN", "REFUSED_SUM"), "L": ("REFUSED_MEAN", "x_MEAN", "off_MEAN", "t_MAX")}}
+_STATED = f"(SELECT l.*, CASE WHEN h.status = 'P' THEN 1 ELSE 0 END AS refused, CASE WHEN h.status = 'O' THEN l.x * 0.6 END AS debt FROM {q_blocks._LOANS} l JOIN {HISTORY} h ON h.id = l.id)"
+
+
+def stated(spark, sf_dir):
+    return q_blocks.loans(spark, sf_dir).withColumns({"refused": flag(F.col("status") == "P"), "debt": F.when(F.col("status") == "O", F.col("x") * 0.6)})
+
+
+@query(windows_sql(_STATED, "t DESC, id DESC", _PREV, "PREV", whole=("COUNT", "REFUSED_SUM", "t_MAX"), **_PREV_WHEN))
+def previous_windows(spark, sf_dir):
+    """BLK-36: loans of one and two years, and of the newest one, three and five."""
+    return rounded(L.windows_and_tails(stated(spark, sf_dir), ["t", "id"], _PREV, "PREV", **_PREV_WHEN))
+
+
+_BUREAU = {"COUNT": ("t", "count"), "AMT_SUM": ("x", "sum"), "DEBT_SUM": ("debt", "sum"), "GAP_MEAN": ("gap", "mean"), "GAP_MIN": ("gap", "min")}
+_BUREAU_WHEN = {"windows": {"1Y": 365, "2Y": 730}, "per_window": {"ALL": ("GAP_MEAN", "GAP_MIN"), "W": ("COUNT", "AMT_SUM", "DEBT_SUM")}}
+
+
+@query(windows_sql(f"(SELECT *, t - lag(t) OVER (PARTITION BY k ORDER BY t, id) AS gap FROM {_STATED})", "t DESC, id DESC", _BUREAU, "BURO", whole=("COUNT", "GAP_MIN"), **_BUREAU_WHEN))
+def bureau_windows(spark, sf_dir):
+    """BLK-38: loans of one and two years, and the days between one beginning and the next."""
+    d = stated(spark, sf_dir).withColumn("gap", L.S.difference("t", ["k"], ["t", "id"]))
+    return rounded(L.windows_and_tails(d, ["t", "id"], _BUREAU, "BURO", **_BUREAU_WHEN))
+
+
+_INS = {"DPD_MEAN": ("dpd", "mean"), "DPD_MAX": ("dpd", "max"), "LATE_MEAN": ("late", "mean"), "PAYRATIO_MEAN": ("ratio", "mean")}
+_INS_LESS = ("DPD_MEAN", "LATE_MEAN", "PAYRATIO_MEAN")
+_INS_WHEN = {"windows": {"90D": 90, "180D": 180, "1Y": 365, "2Y": 730}, "tails": (3, 5, 10), "per_window": {"ALL": _INS_LESS, "L": _INS_LESS}, "trends": (("1Y", "DPD_MEAN"), ("1Y", "LATE_MEAN"), ("90D", "DPD_MEAN"), ("1Y", "PAYRATIO_MEAN"))}
+#: Rows equal in this order are equal in all that is measured.
+_PAID_ORDER = ["t", "id", "number", "amount", "deficit"]
+_PAID_DESC = ", ".join(f"{x} DESC" for x in _PAID_ORDER)
+_PAID_ID = f"(SELECT h.k, h.id, l.t, l.n AS number, greatest(l.t - h.t - 60, 0) AS dpd, l.price * l.disc AS deficit, 1 - l.disc AS ratio, CASE WHEN l.t - h.t - 60 > 0 THEN 1 ELSE 0 END AS late, l.price AS amount, l.price / (l.qty * 1500 + 1) AS util, l.price * l.tax AS drawn FROM {HISTORY} h JOIN {LINES} l ON l.id = h.id)"
+
+
+def paid_rows(spark, sf_dir):
+    l = lines(spark, sf_dir).join(history(spark, sf_dir).select("k", "id", F.col("t").alias("began")), "id")
+    dpd = F.greatest(F.col("t") - F.col("began") - 60, F.lit(0).cast("long"))
+    p = F.col("price")
+    return l.select("k", "id", "t", F.col("n").alias("number"), dpd.alias("dpd"), (p * F.col("disc")).alias("deficit"), (1 - F.col("disc")).alias("ratio"), flag(dpd > 0).alias("late"), p.alias("amount"), (p / (F.col("qty") * 1500 + 1)).alias("util"), (p * F.col("tax")).alias("drawn"))
+
+
+@query(windows_sql(_PAID_ID, _PAID_DESC, _INS, "INS", whole=("DPD_MAX",), **_INS_WHEN))
+def payment_trends(spark, sf_dir):
+    """BLK-37, BLK-4: payments over four windows, the newest three, five and ten, and the newest against all."""
+    return rounded(L.windows_and_tails(paid_rows(spark, sf_dir), _PAID_ORDER, _INS, "INS", **_INS_WHEN))
+
+
+_CARD = {"UTIL_MEAN": ("util", "mean"), "UTIL_MAX": ("util", "max"), "DPD_MEAN": ("dpd", "mean"), "DRAWN_MEAN": ("drawn", "mean"), "DPD_MAX": ("dpd", "max")}
+_CARD_WHEN = {"windows": {"6M": 180}, "per_window": {"ALL": ("UTIL_MEAN", "UTIL_MAX", "DPD_MEAN"), "W": ("UTIL_MEAN", "UTIL_MAX", "DRAWN_MEAN", "DPD_MAX")}, "trends": (("6M", "UTIL_MEAN"),)}
+
+
+@query(windows_sql(_PAID_ID, _PAID_DESC, _CARD, "CC", whole=("DPD_MAX",), **_CARD_WHEN))
+def card_trends(spark, sf_dir):
+    """BLK-38: a card's use over all months and six, and the newest against all."""
+    return rounded(L.windows_and_tails(paid_rows(spark, sf_dir), _PAID_ORDER, _CARD, "CC", **_CARD_WHEN))
+
+
+_DECAY = {"INS": ({"dpd": 6.0, "ratio": 6.0}, _PAID_ID, _PAID_DESC), "CC": ({"util": 3.0}, _PAID_ID, _PAID_DESC), "PREV": ({"off": 3.0, "wait": None}, _STATED, "t DESC, id DESC")}
+
+
+def _decay_sql(name: str) -> str:
+    columns, source, order = _DECAY[name]
+    cols = [f"{r(f'sum({x} * pow(0.5, (a - 1) / {h})) / sum(pow(0.5, (a - 1) / {h}))')} AS {name}_EMA_{x}" for x, h in columns.items() if h is not None]
+    cols += [f"{r(f'max({x}) FILTER (WHERE a = 1) - avg({x})')} AS {name}_LASTvMEAN_{x}" for x in columns]
+    return f"(SELECT k, {', '.join(cols)} FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {order}) AS a FROM {source}) GROUP BY k)"
+
+
+@query(f"SELECT coalesce(a.k, b.k, c.k) AS k, a.* EXCLUDE (k), b.* EXCLUDE (k), c.* EXCLUDE (k) FROM {_decay_sql('INS')} a FULL JOIN {_decay_sql('CC')} b ON b.k = a.k FULL JOIN {_decay_sql('PREV')} c ON c.k = coalesce(a.k, b.k)")
+def decay_and_lag(spark, sf_dir):
+    """BLK-40: half-life means and the newest value against the mean, of payments, cards and loans."""
+    paid_, loans = paid_rows(spark, sf_dir), stated(spark, sf_dir)
+    a, b = (L.decay_and_lag(paid_, _PAID_ORDER, _DECAY[n][0], n) for n in ("INS", "CC"))
+    return rounded(a.join(b, "k", "full").join(L.decay_and_lag(loans, ["t", "id"], _DECAY["PREV"][0], "PREV"), "k", "full"))
