@@ -12,10 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import logit
 from ..functions.semantics import c
 from .encoders import impute_median, standardise
 from .ensemble import auc_of, rank_all
-from .metrics import auc
+from .metrics import auc, below, counted
 from .oof import stratified_fold
 from ..sources.io import staged
 from .tables import enough
@@ -156,3 +157,21 @@ def group_importance(df: DataFrame, feature: str = "feature", importance: str =
     """By the prefix of the feature's name up to the first underscore: how many, how many with no importance, their sum and the least."""
     group = F.coalesce(F.nullif(F.regexp_extract(feature, r"^([^_]+)_", 1), F.lit("")), F.lit("other"))
     return df.groupBy(group.alias("group")).agg(F.count("*").alias("features"), F.count_if(F.col(importance) == 0).alias("idle"), F.sum(importance).alias("total"), F.min(importance).alias("least"))
+
+
+def importance_groups(df: DataFrame, feature: str = "feature", importance: str = "importance") -> DataFrame:
+    """group_importance with the group's share of all importance and the rank of its best feature among all (of equals they share the first)."""
+    groups = group_importance(df, feature, importance)
+    name = F.coalesce(F.nullif(F.regexp_extract(feature, r"^([^_]+)_", 1), F.lit("")), F.lit("other"))
+    best = df.groupBy(name.alias("group")).agg((-F.max(importance)).alias("_less"))
+    ranks = below(counted(df.select((-F.col(importance)).alias("_less")), "_less"), "_less", "_n", "_below").select("_less", (F.col("_below") + 1).alias("best_rank"))
+    total = df.agg(F.sum(importance).alias("_all"))
+    out = groups.join(best, "group").join(ranks, "_less", "left").join(F.broadcast(total))
+    return out.select("group", "features", "idle", "total", "least", F.try_divide(F.col("total"), F.col("_all")).alias("share"), "best_rank")
+
+
+def stack_logits(df: DataFrame, scores: list[str], label: str, fold: str, k: int, out: str, c: float = 0.1) -> DataFrame:
+    """df with `out`: a logistic learner out of fold over the scores' logits, scaled; strong squares keep it from following single scores."""
+    names = [f"_logit_{s}" for s in scores]
+    wide = standardise(staged(df.withColumns({n: logit(F.col(s)) for n, s in zip(names, scores)})), names)
+    return out_of_fold(wide, names, fold, k, lambda: logistic(label, c), out).drop(*names)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rates, scalars as X
 from ..functions.semantics import clip, flag, ratio, row_count, row_max, row_mean, row_product, row_std, row_sum, stable
-from ..operators import encoders as E, ensemble as B, knn, metrics as M, oof
+from ..operators import encoders as E, ensemble as B, knn, metrics as M, ml, oof
+from ..sources import io
 from .q_aggregates import rounded
 from .views import CUSTOMERS, HISTORY, LINES, customers, history, lines, load, r
 
@@ -247,3 +250,19 @@ def stratified_folds(spark, sf_dir):
     apart = F.array_max(F.transform("f", lambda x: x["n"])) - F.array_min(F.transform("f", lambda x: x["n"]))
     each = n.select("y", "stratum", apart.alias("apart"), F.explode("f").alias("f"))
     return each.select("y", "f.fold", "stratum", flag((F.col("apart") <= 64) & (F.abs(5 * F.col("f.n") - F.col("stratum")) <= 5 * 64)).alias("balanced"))
+
+
+_IMPORTANCES = "(SELECT p_brand || '_' || p_partkey AS feature, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE p_retailprice END AS importance FROM part)"
+
+
+@query(f"""WITH f AS {_IMPORTANCES}, n AS (SELECT *, split_part(feature, '_', 1) AS g, rank() OVER (ORDER BY importance DESC) AS place, sum(importance) OVER () AS al FROM f)
+  SELECT g AS "group", count(*) AS features, count(*) FILTER (WHERE importance = 0) AS idle, {r('sum(importance)', 2)} AS total, min(importance) AS least, {r('sum(importance) / any_value(al)', 8)} AS share, min(place) AS best_rank FROM n GROUP BY g""")
+def importance_by_group(spark, sf_dir):
+    """DIAG-4, AGG-17, SNK-6: importances by the prefix of the feature's name, with share and best rank, written as CSV and read back."""
+    p = load(spark, sf_dir, "part")
+    rows = p.select(F.concat_ws("_", "p_brand", "p_partkey").alias("feature"), F.when(F.col("p_size") % 7 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("importance"))
+    out = ml.importance_groups(rows)
+    out = out.select("group", "features", "idle", stable("total", 2).alias("total"), "least", stable("share", 8).alias("share"), "best_rank")
+    path = f"{io.shared_folder(spark)}/importance-{uuid.uuid4().hex}"
+    io.write_csv(out, path)
+    return io.scan_csv(spark, path, out.schema)

@@ -107,3 +107,13 @@ def parameter_search(spark, sf_dir):
         search.search(log, space, area, upto, random=4)
     best = F.col("value") == F.max("value").over(W.partitionBy("study"))
     return log.table().select("trial", "parameters", stable("value", 6).alias("value"), best.alias("best"))
+
+
+@query
+def stacked_logits(spark, sf_dir):
+    """ENS-4: a logistic learner over the logits of two learners' out-of-fold scores, C = 0.1; every customer's three scores."""
+    df = _table(spark, sf_dir).withColumn("fold", oof.hash_fold("k", 3))
+    df = ml.out_of_fold(df, FEATURES, "fold", 3, lambda: ml.gbt(rounds=4), "trees")
+    df = ml.out_of_fold(df, FEATURES, "fold", 3, ml.logistic, "linear")
+    out = ml.stack_logits(df, ["trees", "linear"], "y", "fold", 3, "stacked")
+    return out.select("k", "fold", *[stable(c, 6).alias(c) for c in ("trees", "linear", "stacked")])

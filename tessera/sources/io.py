@@ -85,6 +85,11 @@ def write_submission(df: DataFrame, path: str, key: str, score: str) -> None:
     df.select(key, score).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report as CSV with a header, in as many files as df has parts."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_report(rows: list[dict], path: str, spark: SparkSession) -> None:
     """A small report as JSON lines, through Spark's writer so that any file system does."""
     spark.createDataFrame([(json.dumps(r, sort_keys=True),) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
