@@ -54,9 +54,9 @@ def hill_climb(df: DataFrame, label: str, scores: list[str], steps: int = 2000,
     return {s: picked.count(s) / len(picked) for s in scores}
 
 
-def search_weights(df: DataFrame, label: str, scores: list[str], steps: int = 40) -> dict[str, float]:
+def search_weights(df: DataFrame, label: str, scores: list[str], steps: int = 40, least: float = 1e-6) -> dict[str, float]:
     """Weights by a simplex search on the area of the blend, from two starts: softmax of logits that begin at zero, and absolute values,
-    made to sum to one, that begin with each score's own lead over a half. A step is one query."""
+    made to sum to one, that begin with each score's own lead over a half. A step is one query; a search ends after `steps` or once its areas are within `least`."""
     df = staged(rank_all(df, scores).select(label, *scores))
     share = lambda x: [float(v) / (float(np.abs(x).sum()) or 1.0) for v in np.abs(x)] if np.abs(x).sum() else [1.0 / len(x)] * len(x)
 
@@ -70,5 +70,5 @@ def search_weights(df: DataFrame, label: str, scores: list[str], steps: int = 40
     alone = auc_of(df, label, {s: F.col(s) for s in scores})
     soft = lambda x: softmax([float(v) for v in x])
     starts = [(soft, np.zeros(len(scores)), 1.0), (share, np.array([max(alone[s] - 0.5, 0.01) for s in scores]), 0.2)]
-    best = max(((ways, *simplex_search(values(ways), at, size, steps)) for ways, at, size in starts), key=lambda x: x[2])
+    best = max(((ways, *simplex_search(values(ways), at, size, steps, least)) for ways, at, size in starts), key=lambda x: x[2])
     return dict(zip(scores, best[0](best[1]), strict=True))

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import quantile_bin
 
 
-def parted(counts: DataFrame, x: str, splits: int = 64) -> DataFrame:
-    """counts with _part, which deals its rows out by approximate quantiles of x; the parts are in the order of x."""
-    edges = sorted(set(counts.approxQuantile(x, [i / splits for i in range(1, splits)], 0.01)))
-    return counts.withColumn("_part", quantile_bin(x, edges))
+#: Rows that one part of a table holds, about, and parts at least.
+PER_PART, LEAST_PARTS = 1_000_000, 64
+
+
+def parts_for(n: int) -> int:
+    """How many parts a table of n rows is dealt into, so that a part stays as large however large the table."""
+    return max(LEAST_PARTS, -(-n // PER_PART))
+
+
+def parted(counts: DataFrame, x: str) -> DataFrame:
+    """counts with _part, which deals its rows out by approximate quantiles of x; the parts are in the order of x and as many as the rows ask for."""
+    edges = lambda k: F.percentile_approx(F.col(x).cast("double"), [i / k for i in range(1, k)], max(10_000, 4 * k))
+    n, found = counts.agg(F.count("*"), edges(LEAST_PARTS)).first()
+    if parts_for(n) > LEAST_PARTS:
+        found = counts.agg(edges(parts_for(n))).first()[0]
+    found = sorted(set(found or []))
+    if len(found) < LEAST_PARTS:
+        return counts.withColumn("_part", quantile_bin(x, found))
+    # many edges are searched, not compared one by one
+    search = Bucketizer(splits=[-float("inf"), *found, float("inf")], inputCol="_edge", outputCol="_part", handleInvalid="keep")
+    return search.transform(counts.withColumn("_edge", F.col(x).cast("double"))).drop("_edge").withColumn("_part", F.col("_part").cast("int"))
 
 
 def below(counts: DataFrame, x: str, n: str, out: str, keys: list[str] | None = None) -> DataFrame:

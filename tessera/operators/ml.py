@@ -16,7 +16,7 @@ from ..functions.scalars import logit
 from ..functions.semantics import c
 from .encoders import impute_median, standardise
 from .ensemble import auc_of, rank_all
-from .metrics import auc, below, counted
+from .metrics import auc, below, counted, parts_for
 from .oof import stratified_fold
 from ..sources.io import staged
 from .tables import enough
@@ -83,7 +83,7 @@ def shuffled_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame
     """Labels dealt anew among rows: two hashed orders of the keys, joined place by place within hashed parts."""
     from pyspark.sql import Window as W
 
-    part = F.pmod(F.xxhash64(key), F.lit(64))
+    part = F.pmod(F.xxhash64(key), F.lit(parts_for(df.count())))
     place = lambda s: F.row_number().over(W.partitionBy("_p").orderBy(F.xxhash64(key, F.lit(s)), key))
     base = df.withColumn("_p", part)
     rows = base.withColumn("_i", place(seed)).drop(label)

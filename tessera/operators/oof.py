@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .metrics import parts_for
+
 
 def hash_fold(key: str, k: int, seed: int = 42) -> Column:
     """A fold by key alone, so all rows of a key share it."""
@@ -14,11 +16,12 @@ def modulo_fold(key: str, k: int) -> Column:
     return F.pmod(F.col(key), F.lit(k)).cast("int")
 
 
-def stratified_fold(df: DataFrame, key: str, strata: list[str], k: int, seed: int = 42, buckets: int = 64) -> DataFrame:
+def stratified_fold(df: DataFrame, key: str, strata: list[str], k: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Adds fold: within each stratum rows are dealt out in a hashed order, so folds differ by a row a bucket at most.
 
-    A stratum may hold most rows: it is dealt by hashed buckets of it, each with its own start.
+    A stratum may hold most rows: it is dealt by hashed buckets of it, as many as the rows ask for, each with its own start.
     """
+    buckets = buckets or parts_for(df.count())
     h = F.xxhash64(F.col(key), F.lit(seed))
     df = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
     place = F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_h", key))

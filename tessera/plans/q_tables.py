@@ -93,7 +93,7 @@ def rank_gauss(spark, sf_dir):
     return M.average_rank(c, "bal", "rank").select("k", stable(E.inverse_normal((F.col("rank") - 0.5) / n), 6).alias("gauss"))
 
 
-_AT = [i / 199 for i in range(200)]
+_AT = [i / 49 for i in range(50)]
 
 
 @query(f"""WITH c AS (SELECT k, CASE WHEN k % 9 <> 0 THEN floor(bal / 20) * 20 END AS x FROM {CUSTOMERS}),
@@ -105,10 +105,10 @@ _AT = [i / 199 for i in range(200)]
     FROM c CROSS JOIN e LEFT JOIN d ON c.x >= d.v AND (d.v2 IS NULL OR c.x < d.v2) WHERE c.k % 4 = 0)
   SELECT k, CASE WHEN place IS NOT NULL THEN {r(_gauss_sql('least(greatest(place, 1e-7), 1 - 1e-7)'), 5)} END AS gauss FROM p""")
 def normal_scores(spark, sf_dir):
-    """ENC-7: rows that were not fitted, placed among 200 quantiles of those that were, as normal scores."""
+    """ENC-7: rows that were not fitted, placed among 50 quantiles of those that were, as normal scores."""
     x = F.when(F.col("k") % 9 != 0, F.floor(F.col("bal") / 20) * 20)
     c = customers(spark, sf_dir).select("k", x.cast("double").alias("x"))
-    out = E.normal_scores(c.where("k % 4 <> 0"), c.where("k % 4 = 0"), "x", "gauss", 200)
+    out = E.normal_scores(c.where("k % 4 <> 0"), c.where("k % 4 = 0"), "x", "gauss", 50)
     return out.select("k", stable("gauss", 5).alias("gauss"))
 
 

@@ -44,3 +44,23 @@ def test_payment_slices_skip_what_is_unknown(spark):
     assert (got[1].INS_60D_amount_sum, got[1].INS_90D_amount_sum, got[1].INS_NUM2_late_mean, got[1].INS_EARLY_PAY_RATIO, got[1].INS_EARLY_PAY_DAYS_mean) == (10.0, 30.0, 1.0, 0.5, 4.0)
     assert got[1].INS_DPD_EWM_SUM == pytest.approx(8 * np.exp(-70 / 180))
     assert got[2].INS_1000D_amount_sum is None and got[2].INS_DPD_EWM_SUM is None and got[2].INS_NUM1_late_mean is None
+
+
+def test_parts_grow_with_the_rows_and_ranks_stay(spark, monkeypatch):
+    from tessera.operators import metrics
+
+    df = spark.range(3000).selectExpr("id", "cast((id * 7919) % 1009 as double) as x")
+    want = {r.id: r["rank"] for r in metrics.average_rank(df, "x").collect()}
+    monkeypatch.setattr(metrics, "PER_PART", 10)
+    assert metrics.parts_for(1009) == 101
+    parts = metrics.parted(metrics.counted(df, "x"), "x").groupBy("_part").count().collect()
+    assert len(parts) > 80 and max(r["count"] for r in parts) < 60
+    assert {r.id: r["rank"] for r in metrics.average_rank(df, "x").collect()} == want
+
+
+def test_importances_by_group(spark):
+    from tessera.operators import ml
+
+    rows = [("A_x", 3.0), ("A_y", 0.0), ("B_x", 5.0), ("plain", 3.0), ("B_z", 1.0)]
+    got = {r.group: (r.features, r.idle, r.total, round(r.share, 6), r.best_rank) for r in ml.importance_groups(spark.createDataFrame(rows, "feature string, importance double")).collect()}
+    assert got == {"A": (2, 1, 3.0, 0.25, 2), "B": (2, 0, 6.0, 0.5, 1), "other": (1, 0, 3.0, 0.25, 2)}
