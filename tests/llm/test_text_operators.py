@@ -430,5 +430,5 @@ def test_null_and_repeated_ids_are_packed_in_many_partitions(spark):
     per = {}
     for r in packed:
         per[r.sequence_id] = per.get(r.sequence_id, 0) + r.length
-    assert max(per.values()) <= 4096 and len(per) <= 30_100 // 6 + 2
+    assert max(per.values()) <= 4096 and len(per) <= 30_100 // 6 + 1 + 8  # a bin for each of eight partitions at most is not full
     assert len({s >> 24 for s in per}) >= 4
