@@ -14,9 +14,10 @@ from .tables import softmax
 
 
 def rank_all(df: DataFrame, scores: list[str]) -> DataFrame:
-    """Each score column by its rank in 0 to 1."""
+    """Each score column by its rank in 0 to 1. The rows are staged: computed anew, their sums in another order, scores would miss their ranks."""
+    df = rows = staged(df)
     for s in scores:
-        df = rank01(df, s, f"{s}_rank").drop(s).withColumnRenamed(f"{s}_rank", s)
+        df = rank01(df, s, f"{s}_rank", rows).drop(s).withColumnRenamed(f"{s}_rank", s)
     return df
 
 

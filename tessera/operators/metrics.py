@@ -46,13 +46,15 @@ def counted(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
     return df.where(F.col(x).isNotNull()).groupBy(*(keys or []), x).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def average_rank(df: DataFrame, score: str, out: str = "rank") -> DataFrame:
-    """Adds the rank of each score among all, ties sharing the mean of theirs; a missing score has none.
+def average_rank(df: DataFrame, score: str, out: str = "rank", among: DataFrame | None = None) -> DataFrame:
+    """Adds the rank of each score among all (those of `among`, by default df's own), ties sharing the mean of theirs; a missing score has none.
 
     Scores are counted, the distinct ones dealt by approximate quantiles, and each part gets its
     running count from the counts below it. The result does not depend on where the parts lie.
+    A rank is found by its score, so scores must be the same whenever they are computed: sums of
+    doubles are not, and have to be staged first.
     """
-    ranks = below(counted(df, score), score, "_n", "_below").select(F.col(score).alias("_score"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
+    ranks = below(counted(df if among is None else among, score), score, "_n", "_below").select(F.col(score).alias("_score"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(score) == F.col("_score"), "left").drop("_score")
 
 
@@ -69,10 +71,10 @@ def exact_quantiles(df: DataFrame, x: str, probabilities: list[float]) -> list[f
     return [found[int(a)] + (a - int(a)) * (found[min(int(a) + 1, n - 1)] - found[int(a)]) for a in at]
 
 
-def rank01(df: DataFrame, score: str, out: str) -> DataFrame:
+def rank01(df: DataFrame, score: str, out: str, among: DataFrame | None = None) -> DataFrame:
     """(average rank - 1) / (n - 1)."""
-    n = df.where(F.col(score).isNotNull()).count()
-    return average_rank(df, score, out).withColumn(out, (F.col(out) - 1) / F.lit(float(max(n - 1, 1))))
+    n = (df if among is None else among).where(F.col(score).isNotNull()).count()
+    return average_rank(df, score, out, among).withColumn(out, (F.col(out) - 1) / F.lit(float(max(n - 1, 1))))
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

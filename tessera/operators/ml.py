@@ -141,7 +141,7 @@ def two_layers(df: DataFrame, key: str, scores: list[str], label: str, fold: str
     A missing raw value counts as the column's median.
     """
     df = impute_median(df, raw, flags=False) if raw else df
-    ranked = rank_all(staged(df), [*scores, *raw])
+    ranked = rank_all(df, [*scores, *raw])
     out = out_of_fold(ranked, [*scores, *raw], fold, k, lambda: logistic(label, 0.5), "L2_logistic")
     out = out_of_fold(out, [*scores, *raw], fold, k, lambda: gbt(label, rounds=5), "L2_trees")
     out = staged(out)
