@@ -23,6 +23,11 @@ def stat(name: str, x: Column | str) -> Column:
     return STATS[name](c(x))
 
 
+def exact_mean(x: Column | str, places: int = 8) -> Column:
+    """The mean of numbers with at most so many decimal places: summed as decimals, it is the same in whatever order rows come, so equal means tie."""
+    return F.sum(c(x).cast(T.DecimalType(28, places))).cast("double") / F.count(c(x))
+
+
 def rules_for(df: DataFrame, ids: list[str], flags: tuple[str, ...] = ("mean", "sum"), numbers: tuple[str, ...] = ("mean", "max", "min", "sum")) -> dict[str, tuple[str, ...]]:
     """Which statistics each column gets by its type: booleans and bytes as flags, other numbers as numbers."""
     rules: dict[str, tuple[str, ...]] = {}

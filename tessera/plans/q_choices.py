@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates, scalars as X
 from ..functions.semantics import EPS, clip, flag, missing, ratio, row_count, row_max, row_mean, row_min, row_std, stable
-from ..operators import encoders as E, ensemble as B, knn, ml, oof, tables
+from ..operators import aggregates as A, encoders as E, ensemble as B, knn, ml, oof, tables
 from ..sources import io
 from .q_aggregates import rounded
 from .views import CUSTOMERS, HISTORY, LINES, customers, history, lines, load, r
@@ -159,7 +159,7 @@ def neighbour_target_spaces(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    h = history(spark, sf_dir).groupBy("k").agg(F.avg("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
+    h = history(spark, sf_dir).groupBy("k").agg(A.exact_mean("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
     return customers(spark, sf_dir).select("k", "y", F.col("nation").cast("double").alias("nation")).join(h, "k").withColumn("fold", oof.hash_fold("k", 5))
 
 

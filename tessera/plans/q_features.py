@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates, scalars as X
 from ..functions.semantics import clip, flag, ratio, row_count, row_max, row_mean, row_product, row_std, row_sum, stable
-from ..operators import encoders as E, ensemble as B, knn, metrics as M, ml, oof
+from ..operators import aggregates as A, encoders as E, ensemble as B, knn, metrics as M, ml, oof
 from ..sources import io
 from .q_aggregates import rounded
 from .views import CUSTOMERS, HISTORY, LINES, customers, history, lines, load, r
@@ -186,7 +186,7 @@ def auc(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    h = history(spark, sf_dir).groupBy("k").agg(F.avg("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
+    h = history(spark, sf_dir).groupBy("k").agg(A.exact_mean("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
     return customers(spark, sf_dir).select("k", "y").join(h, "k")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.semantics import flag, missing, sentinel, stable
-from ..operators import encoders as E, ensemble as B, metrics as M, ml, noise, oof, sequences as S
+from ..operators import aggregates as A, encoders as E, ensemble as B, metrics as M, ml, noise, oof, sequences as S
 from ..sources import io
 from .q_aggregates import rounded
 from .views import CUSTOMERS, HISTORY, customers, history, load, r
@@ -133,7 +133,7 @@ def row_level_scores(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    h = history(spark, sf_dir).groupBy("k").agg(F.avg("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
+    h = history(spark, sf_dir).groupBy("k").agg(A.exact_mean("x").alias("a"), F.max("t").cast("double").alias("b"), F.count("*").cast("double").alias("c"))
     return customers(spark, sf_dir).select("k", "y").join(h, "k")
 
 
