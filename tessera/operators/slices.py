@@ -28,7 +28,8 @@ def payment_slices(rows: DataFrame, periods: tuple[int, ...] = (60, 90, 180, 100
     """By k, of payments (k, t due, number, delay in days, deficit, ratio, late, amount): sums and means over the newest
     days, means by number of the instalment, delays decayed by tau, and the share and mean days of early payments.
 
-    One aggregate. A period or number without payments gives NULL; a payment without a due day or a delay
+    One aggregate, after the rows are dealt by customer: they are narrower than what a task would
+    hold and send of each customer it meets, and a task has the customers of its part alone. A period or number without payments gives NULL; a payment without a due day or a delay
     does not count for decay and earliness.
     """
     cols = []
@@ -44,7 +45,7 @@ def payment_slices(rows: DataFrame, periods: tuple[int, ...] = (60, 90, 180, 100
     decayed = F.sum(F.when(known, F.exp(F.col("t") / tau) * F.greatest(F.col("delay"), F.lit(0))))
     early = F.col("delay") < 0
     cols += [decayed.alias("INS_DPD_EWM_SUM"), F.avg(F.when(known, flag(early))).alias("INS_EARLY_PAY_RATIO"), F.avg(F.when(known & early, -F.col("delay"))).alias("INS_EARLY_PAY_DAYS_mean")]
-    return rows.groupBy("k").agg(*cols)
+    return rows.repartition("k").groupBy("k").agg(*cols)
 
 
 def loan_timeline(loans: DataFrame, closed: str, active: str) -> DataFrame:
