@@ -60,6 +60,8 @@ class Pieces(dict):
         self.beside = {a + b for p in self.id_of for a, b in pairwise(p)}
         joined = "".join(map(re.escape, sorted({c for pair in self.beside for c in pair} - {SPACE}))) or SPACE
         parted = not any(b == SPACE != a for a, b in self.beside)
+        #: whether words are on their own, with the mark before them: no piece holds a mark behind anything else
+        self.by_words = parted
         self.unit = re.compile(f"{SPACE}+[{joined}]*|[{joined}]+|[^{joined}{SPACE}]" if parted else f"[{joined}{SPACE}]+|[^{joined}{SPACE}]", re.DOTALL)
         #: byte -> its id, if the model falls back to bytes
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if library.is_byte(i)}
@@ -83,14 +85,32 @@ class Pieces(dict):
         self.single = {k: c for c, k in number.items() if k >= len(names)}
         found = sorted((number[p[:i]] << 32 | number[p[i:]], self.place[p], k) for p, k in self.id_of.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
         pairs, places, ids = zip(*found) if found else ((), (), ())
-        self.pairs, self.pair_place, self.pair_id = np.array(pairs, dtype=np.int64), np.array([*places, self.none], dtype=np.int32), np.array([*ids, -1], dtype=np.int32)
+        # the last is no pair
+        self.pairs, self.pair_place, self.pair_id = np.array([*pairs, -1], dtype=np.int64), np.array([*places, self.none], dtype=np.int32), np.array([*ids, -1], dtype=np.int32)
+        self.bits = max(10, (8 * len(pairs)).bit_length())
+        #: slot -> a pair whose hash it is, or of one before it without a gap between
+        self.slots = np.full(1 << self.bits, len(pairs), dtype=np.int32)
+        slot, left = self.slot_of(self.pairs[:-1]), np.arange(len(pairs))
+        while len(left):
+            free = left[self.slots[slot[left]] == len(pairs)]
+            self.slots[slot[free]] = free
+            left = left[self.slots[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+
+    def slot_of(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def paired(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, piece) of pairs of symbols by number; a pair that is no piece, or has a side below 0, is at the place none."""
+        # a side below 0 makes a key below 0
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        at = np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), at, len(self.pairs)) if len(self.pairs) else np.zeros(len(key), dtype=np.int64)
+        slot, none = self.slot_of(key), len(self.pairs) - 1
+        at = self.slots[slot]
+        far = np.flatnonzero((self.pairs[at] != key) & (at != none))
+        while len(far):
+            slot[far] = (slot[far] + 1) & (len(self.slots) - 1)
+            at[far] = self.slots[slot[far]]
+            far = far[(self.pairs[at[far]] != key[far]) & (at[far] != none)]
         return self.pair_place[at], self.pair_id[at]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
@@ -135,6 +155,8 @@ class Pieces(dict):
         if len(self) + len(new) > MOST:
             self.clear()
             new = short
+        # units of about one length make a narrow matrix
+        new.sort(key=len)
         for i in range(0, len(new), AT_ONCE):
             self.update(zip(new[i : i + AT_ONCE], self.encode_units(new[i : i + AT_ONCE]), strict=True))
 
@@ -196,7 +218,11 @@ class Pieces(dict):
         return ids
 
     def units(self, text: str) -> list[str]:
-        return self.unit.findall(self.library.normalize(text))
+        text = self.library.normalize(text)
+        if not self.by_words or SPACE * 2 in text:
+            return self.unit.findall(text)
+        first, *words = text.split(SPACE)
+        return [first, *[SPACE + w for w in words]] if first else [SPACE + w for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian ids of texts without begin and end."""
@@ -209,7 +235,7 @@ class Pieces(dict):
         if not self.control.isdisjoint(ids[1:-1]):
             runs = [list(g) for c, g in groupby(ids, self.control.__contains__) if not c]
             return "".join([self.decode(r) if k == 0 else self.text_of(b"".join([self.shown[i] for i in r])) for k, r in enumerate(runs)])
-        raw = b"".join([self.shown[i] for i in ids])
+        raw = b"".join(map(self.shown.__getitem__, ids))
         first = next((i for i in ids if i not in self.control), None)
         if self.prefix and first in self.spaced:
             raw = raw[1:]
