@@ -17,18 +17,26 @@ def parts_for(n: int) -> int:
     return max(LEAST_PARTS, -(-n // PER_PART))
 
 
-def parted(counts: DataFrame, x: str) -> DataFrame:
-    """counts with _part, which deals its rows out by approximate quantiles of x; the parts are in the order of x and as many as the rows ask for."""
+def edges_of(df: DataFrame, x: str) -> list[float]:
+    """Ascending values that deal the rows of df into about equal parts by x, as many as the rows ask for. They are approximate, and what rests on the parts does not depend on them."""
     edges = lambda k: F.percentile_approx(F.col(x).cast("double"), [i / k for i in range(1, k)], max(10_000, 4 * k))
-    n, found = counts.agg(F.count("*"), edges(LEAST_PARTS)).first()
+    n, found = df.agg(F.count(x), edges(LEAST_PARTS)).first()
     if parts_for(n) > LEAST_PARTS:
-        found = counts.agg(edges(parts_for(n))).first()[0]
-    found = sorted(set(found or []))
-    if len(found) < LEAST_PARTS:
-        return counts.withColumn("_part", quantile_bin(x, found))
-    # many edges are searched, not compared one by one
-    search = Bucketizer(splits=[-float("inf"), *found, float("inf")], inputCol="_edge", outputCol="_part", handleInvalid="keep")
-    return search.transform(counts.withColumn("_edge", F.col(x).cast("double"))).drop("_edge").withColumn("_part", F.col("_part").cast("int"))
+        found = df.agg(edges(parts_for(n))).first()[0]
+    return sorted(set(found or []))
+
+
+def part_of(df: DataFrame, x: str, edges: list[float]) -> DataFrame:
+    """df with _part, the number of its part by x between edges; many edges are searched, not compared one by one."""
+    if len(edges) < LEAST_PARTS:
+        return df.withColumn("_part", quantile_bin(x, edges))
+    search = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="_edge", outputCol="_part", handleInvalid="keep")
+    return search.transform(df.withColumn("_edge", F.col(x).cast("double"))).drop("_edge").withColumn("_part", F.col("_part").cast("int"))
+
+
+def parted(counts: DataFrame, x: str) -> DataFrame:
+    """counts with _part, which deals its rows out by approximate quantiles of x; the parts are in the order of x and as many as the rows ask for."""
+    return part_of(counts, x, edges_of(counts, x))
 
 
 def below(counts: DataFrame, x: str, n: str, out: str, keys: list[str] | None = None) -> DataFrame:
@@ -80,11 +88,15 @@ def rank01(df: DataFrame, score: str, out: str, among: DataFrame | None = None)
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Area under the curve, ties counted half; 0.5 where a class is absent. With `by`, one each.
 
-    Works on counts by distinct score: negatives below a score are running sums over parts.
+    Works on counts by distinct score. A part of the scores gives its pairs won inside, its positives and
+    its negatives; what positives win over the parts below follows from these few rows.
     """
     keys = by or []
-    c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
-    c = below(c.withColumn("q", F.col("n") - F.col("p")), score, "q", "below", keys)
-    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
-    both = F.sum("p") * F.sum("q")
-    return c.groupBy(*keys).agg(F.coalesce(F.try_divide(won, both), F.lit(0.5)).alias("auc"))
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(score).alias("_s"), F.col(label).cast("double").alias("_y"))
+    c = part_of(known, "_s", edges_of(known, "_s")).groupBy(*keys, "_part", "_s").agg(F.sum("_y").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    ahead = lambda order, *own: (W.partitionBy(*own) if own else W).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    less = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0.0))
+    c = c.withColumn("below", less("q", ahead("_s", *keys, "_part")))
+    parts = c.groupBy(*keys, "_part").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    parts = parts.withColumn("below", less("q", ahead("_part", *keys)))
+    return parts.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("won") + F.col("p") * F.col("below")), F.sum("p") * F.sum("q")), F.lit(0.5)).alias("auc"))
