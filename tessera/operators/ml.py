@@ -22,6 +22,16 @@ from ..sources.io import staged
 from .tables import enough
 
 
+#: Rows, about, of a part that an estimator keeps in memory and reads as one task.
+ROWS = 200_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in parts of about ROWS rows at most, however large the parts it came in; a small one stays as it is."""
+    n = df.count()
+    return df if n <= ROWS else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)))
+
+
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
 
@@ -41,7 +51,7 @@ def probability(df: DataFrame, out: str) -> DataFrame:
 def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Callable[[], Estimator], out: str) -> DataFrame:
     """Each row's score from a model that never saw its fold. The rows are staged: every fold reads them."""
     df = assembled(staged(df), features)
-    parts = [probability(make().fit(df.where(F.col(fold) != i)).transform(df.where(F.col(fold) == i)), out) for i in range(k)]
+    parts = [probability(make().fit(dealt(df.where(F.col(fold) != i))).transform(df.where(F.col(fold) == i)), out) for i in range(k)]
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
@@ -51,7 +61,7 @@ def out_of_fold(df: DataFrame, features: list[str], fold: str, k: int, make: Cal
 def impute_by_regression(df: DataFrame, target: str, features: list[str], rounds: int = 10) -> DataFrame:
     """Missing values of a column predicted from others by trees fitted on the known ones, with a flag."""
     df = assembled(df, features)
-    model = GBTRegressor(labelCol=target, featuresCol="features", maxIter=rounds, maxDepth=3, seed=42).fit(df.where(F.col(target).isNotNull()))
+    model = GBTRegressor(labelCol=target, featuresCol="features", maxIter=rounds, maxDepth=3, seed=42).fit(dealt(df.where(F.col(target).isNotNull())))
     filled = model.transform(df)
     return filled.withColumns({f"{target}_ISNA": F.when(F.col(target).isNull(), 1).otherwise(0), target: F.coalesce(F.col(target), F.col("prediction"))}).drop("features", "prediction")
 
@@ -126,10 +136,10 @@ def retrained(train: DataFrame, test: DataFrame, features: list[str], label: str
 def payment_counts(known: DataFrame, current: DataFrame, features: list[str], count: str, out: str, low: float, high: float, least: int = 200) -> DataFrame:
     """current with the number of payments that trees fitted on loans with a known one predict, within bounds; NULL
     where fewer than `least` such loans are known."""
-    known = known.where(F.col(count) > 0)
+    known = staged(known.where(F.col(count) > 0))
     if not enough(known, least):
         return current.withColumn(out, F.lit(None).cast("double"))
-    model = GBTRegressor(labelCol=count, featuresCol="features", maxIter=10, maxDepth=4, seed=42).fit(assembled(known, features))
+    model = GBTRegressor(labelCol=count, featuresCol="features", maxIter=10, maxDepth=4, seed=42).fit(assembled(dealt(known), features))
     scored = model.transform(assembled(current, features))
     return scored.withColumn(out, F.greatest(F.least("prediction", F.lit(float(high))), F.lit(float(low)))).drop("features", "prediction")
 
