@@ -235,4 +235,4 @@ def neighbour_target_all(spark, sf_dir):
     x = history(spark, sf_dir).groupBy("k").agg(F.avg("x").alias("x"))
     c = customers(spark, sf_dir).join(x, "k", "left")
     rows = io.staged(c.select(F.col("k").alias("id"), (F.col("k") % 5).alias("fold"), F.array(F.col("bal") / 1000, F.col("nation") / 5.0, F.coalesce("x", F.lit(0.0)) / 100000).alias("vec"), F.col("y").cast("double").alias("value")))
-    return rounded(knn.neighbour_means(knn.nearest(rows, rows, 1000), rows.select("id", "value"), [100, 500, 1000], "NEAR"), 6)
+    return rounded(knn.nearest_means(rows, rows, [100, 500, 1000], "NEAR"), 6)
