@@ -2,7 +2,8 @@
 
 Columns have fixed roles: k customer, id loan, t days and m months before the as-of date (0 and less);
 what else a block needs is in its docstring. A block is one aggregate by k over one-hot and derived
-columns, with its windows as conditions, joined at most with roll-ups of its loans. A customer without
+columns, with its windows as conditions, joined at most with roll-ups of its loans. Its rows are dealt
+by customer first: they are narrower than what a task would hold and send of each customer it meets. A customer without
 rows in a window has NULLs there.
 """
 
@@ -52,7 +53,7 @@ def bureau(loans: DataFrame, balance: DataFrame, rules: Rules, states: tuple[str
 
     Adds the number of kinds, the active snapshot and how many loans run at once at most.
     """
-    df = one_hot(loans.join(balance_trend(balance), "id", "left"), "status", states)
+    df = one_hot(loans.join(balance_trend(balance), "id", "left").repartition("k"), "status", states)
     cols = over_windows(df, "t", windows, rules | hot_rules("status", states, ("mean", "sum")))
     out = df.groupBy("k").agg(*cols, F.count_distinct("kind").alias("KINDS"), *active_snapshot(df, active))
     return out.join(S.most_overlapping(loans, "k", "t", "end"), "k", "left")
@@ -67,7 +68,7 @@ def early_completion(rows: DataFrame, done: str, ties: list[str]) -> DataFrame:
 
 def instalment_loans(rows: DataFrame, rules: Rules, states: tuple[str, ...], done: str, ties: list[str], windows: dict[str, int | None]) -> DataFrame:
     """Monthly rows of loans (k, id, m, left, dpd, status, others by rules) over windows, with the slope of dpd by loan and early completion."""
-    df = one_hot(rows, "status", states)
+    df = one_hot(rows.repartition("k"), "status", states)
     trend = A.two_level(rows, ["k", "id"], ["k"], [A.slope("m", "dpd").alias("s")], [F.avg("s").alias("DPD_SLOPE_mean"), F.max("s").alias("DPD_SLOPE_max")])
     out = df.groupBy("k").agg(*over_windows(df, "m", windows, rules | hot_rules("status", states, ("mean", "sum"))))
     return out.join(trend, "k", "left").join(early_completion(rows, done, ties), "k", "left")
@@ -86,13 +87,14 @@ def cards(rows: DataFrame, rules: Rules, windows: dict[str, int | None]) -> Data
     trend = A.two_level(df, ["k", "id"], ["k"], [A.slope("m", "util").alias("s")], [F.avg("s").alias("UTIL_SLOPE_mean"), F.max("s").alias("UTIL_SLOPE_max")])
     only = [F.avg("least_only").alias("LEAST_ONLY_mean"), F.avg(F.when(F.col("m") >= -12, F.col("least_only"))).alias("LEAST_ONLY_12M_mean")]
     by_month = df.groupBy("k", "m").agg(F.sum("balance").alias("balance"))
-    out = df.groupBy("k").agg(*over_windows(df, "m", windows, rules), *only)
+    dealt = card_columns(rows.repartition("k"))
+    out = dealt.groupBy("k").agg(*over_windows(dealt, "m", windows, rules), *only)
     return out.join(trend, "k", "left").join(S.longest_rise(by_month, "k", ["m"], "balance"), "k", "left")
 
 
 def loans_by_state(loans: DataFrame, rules: Rules, prefix: str, states: dict[str, str], shares: dict[str, tuple[str, ...]]) -> DataFrame:
     """Loans (k, status, others) by rules, of all loans and of those in each named state, with their number and shares of categories."""
-    df = loans
+    df = loans.repartition("k")
     for column, domain in shares.items():
         df = one_hot(df, column, domain)
     cols = A.aggregate_by_rules(df, ["k"], rules, f"{prefix}_") + [F.count("*").alias(f"{prefix}_COUNT")]

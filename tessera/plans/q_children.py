@@ -175,7 +175,7 @@ _RECENT = {"dpd": ("max", "mean")}
 @query(f"""WITH d AS (SELECT * EXCLUDE ("left"), "left" AS lft, {hot_sql('status', ('F', 'O'))} FROM {_ROWS}) SELECT k, {rules_sql({k.replace('left', 'lft'): v for k, v in _POS2.items()} | B.hot_rules('status', ('F', 'O'), ('mean',)), 'POS_', _WHOLE | {'lft'}).replace('POS_lft', 'POS_left')}, count(*) AS POS_COUNT, {rules_sql(_RECENT, 'POS_RECENT_', _WHOLE, 'm >= -12')} FROM d GROUP BY k""")
 def instalment_spread(spark, sf_dir):
     """BLK-31: deviations and medians of monthly rows, and days late in the last twelve months."""
-    d = B.one_hot(rows(spark, sf_dir), "status", ("F", "O"))
+    d = B.one_hot(rows(spark, sf_dir).repartition("k"), "status", ("F", "O"))
     cols = A.aggregate_by_rules(d, ["k"], _POS2 | B.hot_rules("status", ("F", "O"), ("mean",)), "POS_") + [F.count("*").alias("POS_COUNT")] + A.aggregate_by_rules(d, ["k"], _RECENT, "POS_RECENT_", F.col("m") >= -12)
     return rounded(d.groupBy("k").agg(*cols))
 
