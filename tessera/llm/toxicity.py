@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, cut, keep, table, tidy
+from .common import bounded_batches, cut, forget, hand_back, keep, table, tidy
 
 DIMS = 1 << 18
 #: At most so many labelled training documents of each class.
@@ -200,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, limit: int = SAM
     ids, y = rows["doc_id"].to_pylist(), rows["y"].to_numpy()
     found = [x.values.to_numpy() for x in rows["terms"]]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i].tolist()))
+    # what Spark held for the sample goes before the fit takes its room
+    forget(docs.sparkSession)
     return FactorizationMachine.fit([found[i] for i in order], y[order].astype(np.int64))
 
 
@@ -229,7 +231,10 @@ def _scorer(model: FactorizationMachine, dims: int):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains and scores: docs with toxic_score and toxic_predicted (1 from CUT on)."""
-    scored = score_toxicity(docs, train(docs, labels))
+    model = train(docs, labels)
+    # the sample's matrices would else stay with the driver, whatever it does next
+    hand_back()
+    scored = score_toxicity(docs, model)
     return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= CUT).cast("int"))
 
 
