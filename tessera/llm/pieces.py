@@ -4,29 +4,33 @@ A text becomes its symbols, one a code point; an agenda holds the adjacent pairs
 best score first and of equal ones the leftmost, and merges them until no pair is a piece. What no
 piece covers falls back to bytes. Texts fall apart into units at spaces; the agendas of all units that a
 batch meets first are rows of one matrix, from which each round takes every row's best pair, and a long
-unit has a heap. The sentencepiece library reads the model and normalises, and the result of every text
-is checked against its own in the same Arrow batch.
+unit has a heap. The sentencepiece library reads the model and normalises, and the ids of every distinct
+unit are checked against its own, those of a whole text where a unit alone proves nothing, and so is every
+decoded text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .common import bounded_batches, keep, table, tidy
+from .packing import Ragged
 
 SPACE = "▁"
 #: Bytes of text that are encoded at once; units of at most so many code points are kept, and so many of them.
 CHUNK, SHORT, MOST = 1 << 20, 24, 450_000
-#: Units whose agendas are one matrix.
-AT_ONCE, UNKNOWN = 1 << 13, 1 << 28
+#: Units whose agendas are one matrix, and those that the library encodes as one text.
+AT_ONCE, IN_ONE, UNKNOWN = 1 << 13, 64, 1 << 28
 
 
 class Pieces(dict):
@@ -42,6 +46,8 @@ class Pieces(dict):
         import sentencepiece
 
         super().__init__()
+        #: units kept of which the library has not given the same ids
+        self.doubtful: set[str] = set()
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = library.get_piece_size()
         names = [library.id_to_piece(i) for i in range(n)]
@@ -148,17 +154,37 @@ class Pieces(dict):
             out[i] = b"".join([k.to_bytes(4, "little") if k < self.no_piece else self.fall_back(chr(k - UNKNOWN) if k >= UNKNOWN else self.single[k]) for k in symbol[i][held[i]].tolist()])
         return out
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Encodes those of some units that are short and new, all at once."""
-        short = [u for u in units if len(u) <= SHORT]
-        new = [u for u in short if u not in self]
+    def learn(self, units: list[str]) -> None:
+        """Encodes those of some distinct units that are short and new, all at once, and notes those that the library encodes otherwise."""
+        new = [u for u in units if u not in self and 0 < len(u) <= SHORT]
         if len(self) + len(new) > MOST:
             self.clear()
-            new = short
+            self.doubtful.clear()
+            new = [u for u in units if 0 < len(u) <= SHORT]
         # units of about one length make a narrow matrix
         new.sort(key=len)
         for i in range(0, len(new), AT_ONCE):
-            self.update(zip(new[i : i + AT_ONCE], self.encode_units(new[i : i + AT_ONCE]), strict=True))
+            some = new[i : i + AT_ONCE]
+            made = self.encode_units(some)
+            self.update(zip(some, made, strict=True))
+            self.doubtful.update(self.unproven(some, made))
+
+    def unproven(self, units: list[str], made: list[bytes]) -> list[str]:
+        """Those of some units, with the ids made of each, to which the library does not give the same ids as words of their own.
+
+        Ids of pieces and bytes spell what they encode, so equal ones also prove that the library sees the unit as it
+        stands; without bytes the unknown id spells nothing. A unit that is no word behind a mark stays unproven.
+        """
+        if not self.by_words or not self.byte:
+            return units
+        left, runs = [], [(i, min(i + IN_ONE, len(units))) for i in range(0, len(units), IN_ONE)]
+        while runs:
+            given = self.library.encode(["".join(units[i:j])[1:].replace(SPACE, " ") for i, j in runs], num_threads=1)
+            differ = [(i, j) for (i, j), ids in zip(runs, given, strict=True) if array("I", ids).tobytes() != b"".join(made[i:j])]
+            left += [units[i] for i, j in differ if j == i + 1]
+            # units of a run that differs are given one by one
+            runs = [(k, k + 1) for i, j in differ if j > i + 1 for k in range(i, j)]
+        return left
 
     def merged(self, text: str) -> list[str]:
         """The symbols of a text once no adjacent pair is a piece; the agenda of a short one is a plain list of places."""
@@ -210,12 +236,8 @@ class Pieces(dict):
         return b"".join([raw.get(s) or self.fall_back(s) for i, j in zip([0, *cuts], [*cuts, len(unit)]) for s in self.merged(unit[i:j])])
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encode_unit(unit)
-        if len(unit) <= SHORT:
-            if len(self) >= MOST:
-                self.clear()
-            self[unit] = ids
-        return ids
+        # whoever is kept has been checked (learn)
+        return self.encode_unit(unit)
 
     def units(self, text: str) -> list[str]:
         text = self.library.normalize(text)
@@ -224,11 +246,43 @@ class Pieces(dict):
         first, *words = text.split(SPACE)
         return [first, *[SPACE + w for w in words]] if first else [SPACE + w for w in words]
 
+    def parted(self, texts: list[str]) -> pa.ListArray:
+        """The units of each text, parted as columns where every mark of space begins one; an empty unit may come first."""
+        normal = pa.array(self.library.normalize(texts), pa.string())
+        if not self.by_words or pc.any(pc.match_substring_regex(normal, f"{SPACE}{SPACE}|\\x00")).as_py():
+            return pa.array([self.units(t) for t in texts], pa.list_(pa.string()))
+        return pc.split_pattern(pc.replace_substring(normal, SPACE, f"\0{SPACE}"), "\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian ids of texts without begin and end."""
-        units = [self.units(t) for t in texts]
-        self.learn(set().union(*units))
-        return [b"".join([self[u] for u in us]) for us in units]
+        return self.encode_checked(texts)[0]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The little-endian ids of texts without begin and end, and whether the library gives the same.
+
+        A text is its units end to end, so a text of proven units is proven; the library encodes any other whole.
+        """
+        parted = self.parted(texts)
+        flat = parted.flatten().dictionary_encode()
+        names, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        self.learn(names)
+        # long units are not kept from batch to batch
+        long = [u for u in names if len(u) > SHORT]
+        self.update(zip(long, ids := [self.encode_unit(u) for u in long], strict=True))
+        doubtful = self.doubtful.union(self.unproven(long, ids))
+        found = list(map(self.__getitem__, names))
+        for u in long:
+            del self[u]
+        each = Ragged(np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4).take(at)
+        ends = np.concatenate([[0], each.ends])[parted.offsets.to_numpy()]
+        made = [each.flat[i:j].tobytes() for i, j in pairwise(ends.tolist())]
+        agrees = [True] * len(texts)
+        if doubtful:
+            unit_ends = np.concatenate([[0], np.cumsum(np.array([u in doubtful for u in names])[at])])[parted.offsets.to_numpy()]
+            unsure = np.flatnonzero(np.diff(unit_ends)).tolist()
+            for i, own in zip(unsure, self.library.encode([texts[i] for i in unsure], num_threads=1), strict=True):
+                agrees[i] = array("I", own).tobytes() == made[i]
+        return made, agrees
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes in a row, controls left out, the space before the first piece taken away; a byte that is no UTF-8 becomes U+FFFD."""
@@ -305,14 +359,12 @@ def encode_pieces(docs: DataFrame, path: str, whole: bool = True, text: str = "t
             at = 0
             for texts in in_chunks([t or "" for t in b.column(0).to_pylist()], CHUNK):
                 rows = []
-                library_ids = p.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                library_texts = p.library.decode(library_ids, num_threads=1)
-                for made_ids, own_ids, own_text in zip(p.encode(texts), library_ids, library_texts, strict=True):
-                    raw = made_ids.join(ends)
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    listed = ids.tolist()
+                made_ids, same_ids = p.encode_checked(texts)
+                raws = [ids.join(ends) for ids in made_ids]
+                lists = [np.frombuffer(raw, dtype="<u4").tolist() for raw in raws]
+                for raw, listed, same, library_text in zip(raws, lists, same_ids, p.library.decode(lists, num_threads=1), strict=True):
                     back = p.decode(listed)
-                    row = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), listed == own_ids and back == own_text)
+                    row = (len(listed), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), same and back == library_text)
                     rows.append((*row, listed, back) if whole else row)
                 columns = [pa.array(c, type=PA[name]) for name, c in zip(made, zip(*rows), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns[1:], *columns], names=[f.name for f in schema.fields])
